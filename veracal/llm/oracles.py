@@ -14,11 +14,11 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(3.0::DOUBLE * s
 h AS (SELECT arg_min(lev, ratio) AS hold FROM l WHERE lev <= ratio),
 t AS (SELECT source, source_size, weight, least(3.0::DOUBLE * source_size, coalesce(hold * weight, 3.0::DOUBLE * source_size)) AS target FROM r, h),
 p AS (SELECT d.*, t.source_size, t.weight, t.target,
-             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-g AS (SELECT *, (greatest(0, least(size, round(target)::BIGINT - at)) + greatest(0, least(size, round(target)::BIGINT - source_size - at))
-              + greatest(0, least(size, round(target)::BIGINT - 2 * source_size - at)))::BIGINT AS taken,
-             CASE WHEN target > 0 THEN at / target ELSE 0 END AS y FROM p)
+g AS (SELECT *, (greatest(0, least(size, round(target)::BIGINT - c0)) + greatest(0, least(size, round(target)::BIGINT - source_size - c0))
+              + greatest(0, least(size, round(target)::BIGINT - 2 * source_size - c0)))::BIGINT AS taken,
+             CASE WHEN target > 0 THEN c0 / target ELSE 0 END AS y FROM p)
 SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 3) AS target, taken,
        CASE WHEN taken > 0 THEN round(CASE weight
               WHEN 5 THEN 2 * y / (1.5 + sqrt(greatest(2.25 - 2 * y, 0)))

@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], digests=True)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan_documents
+
+    return digest(scan_documents(common.documents(spark, sf_dir)))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
