@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import assess
+
+    out = assess(common.documents(spark, sf_dir), labels(spark, sf_dir))
+    stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return out.select("doc_id", *stats, "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
