@@ -22,6 +22,21 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *stats, "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import compare
+
+    return compare(common.documents(spark, sf_dir))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    docs = common.documents(spark, sf_dir)
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    found = identify(docs, docs.select("doc_id", "text", "lang").where(~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
