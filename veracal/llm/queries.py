@@ -59,6 +59,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("position", "doc_id")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import link
+
+    return link(common.documents(spark, sf_dir), size=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
