@@ -37,6 +37,12 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import deduplicate
+
+    return deduplicate(common.documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
