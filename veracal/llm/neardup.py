@@ -13,7 +13,7 @@ every component, since a pair inside a component adds nothing.  Buckets are aggr
 joins that may be split; nothing is capped.
 
 Nulls and empties: documents without words, and null ids, are linked with nothing (component: their own id).  Rows with the
-same id are one node.  An empty table gives an empty result.
+same id follow each its own text.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import link_buckets
 
 SHINGLE = 5
 PERCENT = 80
@@ -93,9 +93,6 @@ def differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-SIGNED = "node {id}, n_shingles long, same binary, bands array<long>, sketch array<long>"
-
-
 def sign(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, ``same`` (16 bytes, equal for equal sets; null for empty ones), bands, sketch."""
     import xxhash
@@ -160,24 +157,12 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
         "nodes",
     )
     members = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = common.written(members.join(buckets, "key"), "bucket-members")
-    first = members.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("node").alias("v")), F.struct(F.col("node").alias("u"), F.col("hi").alias("v")))).alias("p"))
-    first = common.written(sift(first.select("p.u", "p.v").where("u < v").distinct(), nodes, percent), "pairs")
-    edges = common.written(confirm(first, docs, size, percent), "links")
-    found = components(edges)
-    # pairs that would join two components, in the buckets that hold more than one
-    of = members.join(found, "node", "left").select("key", "node", "lo", "hi", F.coalesce("component", "node").alias("component"))
-    of = common.written(of, "bucket-components")
-    mixed = of.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-    inner = of.where("node <> lo and node <> hi").join(mixed, "key").select("key", "node", "component")
-    other = inner.select("key", F.col("node").alias("v"), F.col("component").alias("w"))
-    cross = inner.join(other, "key").where("component < w").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-    cross = common.written(sift(cross, nodes, percent), "pairs")
-    more = confirm(cross, docs, size, percent)
-    found = common.written(components(edges.union(more)), "components")
+
+    def holds(pairs: DataFrame) -> DataFrame:
+        return confirm(common.written(sift(pairs, nodes, percent), "pairs"), docs, size, percent)
+
+    found = link_buckets(members, holds)
     named = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    # rows with the same id are one node: a class whose id also leads another class follows it
     out = signed.select("doc_id", "n_shingles", "same").join(named, "same", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
