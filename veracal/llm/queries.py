@@ -43,6 +43,12 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(common.documents(spark, sf_dir))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
