@@ -70,7 +70,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_R
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: dict | None = None) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, position (time of the first copy; null if nothing is taken)."""
+    """doc_id, size, source, source_size, target, taken, position (time of the first copy; null if nothing is taken), copies
+    (taken words and position of each)."""
     schedules = schedules or SCHEDULES
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # the sizes are computed once and kept: counting words is the only pass over the texts
@@ -90,20 +91,28 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEAT
         starts.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d._bucket") == F.col("b._bucket"))
     ).select("d.doc_id", "d.source", "d.size", "b.source_size", "b.weight", "b.target", (F.col("_before") + F.col("_inner")).alias("_start"))
     whole = F.round("target").cast("long")
-    parts = [F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("source_size") * e - F.col("_start"))) for e in range(max_repeats)]
-    taken = sum(parts[1:], parts[0])
-    share = F.when(F.col("target") > 0, F.col("_start") / F.col("target")).otherwise(F.lit(0.0))
-    position = F.lit(None).cast("double")
-    for w, knots in schedules.items():
-        position = F.when(F.col("weight") == w, demand_inverse(share, knots)).otherwise(position)
-    out = out.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, F.round(position, 9)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+
+    def copy(e: int) -> Column:
+        """The words taken of the document's e-th copy, and where it stands in training."""
+        begin = F.col("source_size") * e + F.col("_start")
+        share = F.when(F.col("target") > 0, begin / F.col("target")).otherwise(F.lit(0.0))
+        at = F.lit(None).cast("double")
+        for w, knots in schedules.items():
+            at = F.when(F.col("weight") == w, demand_inverse(share, knots)).otherwise(at)
+        return F.struct(F.greatest(F.lit(0), F.least(F.col("size"), whole - begin)).cast("long").alias("taken"), at.alias("position"))
+
+    copies = F.filter(F.array(*[copy(e) for e in range(max_repeats)]), lambda c: c["taken"] > 0)
+    out = out.withColumn("copies", copies)
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["taken"])
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.get("copies", 0)["position"].alias("position"), "copies")
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` in training order: each document that the mix takes, once for each copy that it takes in whole or in part,
-    range-sorted by the training position of the copy.  Columns: those of ``docs``."""
-    m = mix(docs, **options).select("doc_id", "size", "taken", "position")
-    m = m.groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"), F.min("position").alias("_position"))
-    kept = docs.alias("d").join(m.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).where("_taken > 0")
-    return kept.orderBy(F.col("m._position"), F.col("d.doc_id")).select("d.*")
+    """``docs`` in training order: each copy of a document that the mix takes, in whole or in part, as one row of the whole
+    document, range-sorted by the copy's training position.  Columns: those of ``docs``."""
+    m = mix(docs, **options).select("doc_id", F.col("copies.position").alias("_at"))
+    m = m.groupBy("doc_id").agg(F.max(F.struct(F.size("_at"), "_at"))["_at"].alias("_at"))  # rows with one id: alike
+    kept = docs.alias("d").join(m.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
+    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("_row")
+    placed = kept.select(row, F.explode("m._at").alias("_position"))
+    return placed.orderBy("_position", "_row.doc_id").select("_row.*")
