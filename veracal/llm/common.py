@@ -39,7 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     # shuffle files go when their plans do: let the driver notice now rather than half an hour later
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veracal_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for t in tables:
+        _MADE.remove((t.sparkSession, t._veracal_path))
+        _delete(t.sparkSession, t._veracal_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_written() -> None:
@@ -47,9 +61,7 @@ def drop_written() -> None:
     while _MADE:
         spark, path = _MADE.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: nothing can be deleted any more
             return
 
@@ -84,8 +96,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser for 64-bit values (xor-shift and multiply, invertible)."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(32)
+    x = x ^ (x >> np.uint64(32))
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
@@ -93,30 +104,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to ``most`` words for one worker; then it starts again."""
-
-    def __init__(self, most: int = 400_000, seed: int = 0):
-        super().__init__()
-        self.most, self.seed = most, seed
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-_HASHES: dict[int, WordHashes] = {}
-
-
-def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
-    """Hashes of the words of one text; the memory lives as long as the worker process."""
-    if seed not in _HASHES:
-        _HASHES[seed] = WordHashes(seed=seed)
-    return _HASHES[seed].array(words)
+_TABLE = np.random.default_rng(77).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once; a longer text is cut at white space.
+HASH_BYTES = 1 << 18
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64 for i < n (at least); the base is odd."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)], dtype=np.uint64)
+        down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, pow(base, -1, 2**64), np.uint64)], dtype=np.uint64)
+        _POWERS[base] = up, down
+    return _POWERS[base]
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of spans from prefix sums (sums[i]: of what is before i)."""
+    return mix64((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes start and end."""
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[b], True].view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def hash_words(text: bytes) -> np.ndarray:
+    """64-bit hashes of all words of a text, without building the words: polynomials over randomised bytes, modulo 2^64."""
+    if len(text) > HASH_BYTES:
+        parts, at = [], 0
+        while at < len(text):
+            cut = at + HASH_BYTES
+            while cut < len(text) and not _SPACE[text[cut]]:
+                cut += 1
+            parts.append(_hash_words(text[at:cut]))
+            at = cut
+        return np.concatenate(parts)
+    return _hash_words(text)
+
+
+def _hash_words(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text, np.uint8)
+    starts, ends = word_spans(b)
+    up, down = powers(_BASE, len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_TABLE[b] * up[: len(b)], out=sums[1:])
+    return span_hashes(sums, starts, ends, down)
+
+
+def rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Polynomial hashes of all runs of ``size`` words, modulo 2^64."""
+    up, down = powers(base, len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    n = len(h) - size + 1
+    return mix64((sums[size:] - sums[:n]) * down[:n])

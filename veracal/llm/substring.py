@@ -7,10 +7,12 @@
 3. Every partition counts its anchors in a count-min sketch (``DEPTH`` rows, kept sparse: sorted cells with saturated
    counts).  The sketches are cut into shards and merged shard by shard.  The width follows the number of anchors.  The
    minimum over the rows never underestimates, so anchors estimated to occur once are settled: nothing is lost.
-4. A second pass over the texts makes 128-bit hashes of exactly those windows whose anchor is estimated repeated; they are
+4. A second pass over the texts makes 96-bit hashes of exactly those windows whose anchor is estimated repeated; they are
    counted (before they are shuffled, so a passage in a third of all documents is one row a task) and matched again.
 5. Texts with repeated windows are read once more and their covered words removed.
 
+Two different windows share a hash with a probability of 2^-96; among 10^13 windows none is to be expected.
+
 No step gathers a passage's occurrences in one task: counts are partial sums, matches are semi-joins that may be split.
 
 Nulls and empties: a null text has no words.  Rows with the same id and text are separate documents (and so repeat each
@@ -34,42 +36,21 @@ GRAM = 8
 DEPTH = 2
 #: Cells in each row of the sketch for each anchor of the corpus.
 CELLS = 8
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n (at least)."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        n = 1 << max(12, (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64)
-            down = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(base, -1, 2**64), np.uint64)], dtype=np.uint64)
-        _POWERS[base] = up, down
-    return _POWERS[base]
-
-
-def rolling(h: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Polynomial hashes of all runs of ``size`` words, modulo 2^64, from prefix sums."""
-    up, down = _powers(base, len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=sums[1:], dtype=np.uint64)
-    n = len(h) - size + 1
-    return common.mix64((sums[size:] - sums[:n]) * down[:n])
+#: Bases of the hashes of windows; grams use the first.
+_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all grams, for each window the place of its anchor)."""
-    g = rolling(h, gram, _BASES[0])
+    g = common.rolling(h, gram, _BASES[0])
     wide = window - gram + 1
     at = np.lib.stride_tricks.sliding_window_view(g, wide).argmin(1)
     return g, at + np.arange(len(at))
 
 
-def windows(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every window."""
-    a, b = common.word_hashes(words), common.word_hashes(words, 1)
-    return rolling(a, window, _BASES[0]), rolling(b, window, _BASES[1])
+def windows(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every window of a text, from the hashes of its words."""
+    return common.rolling(h, window, _BASES[0]), common.rolling(h, window, _BASES[1])
 
 
 def _key() -> list:
@@ -84,13 +65,13 @@ def _scan(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for b in batches:
             n, seq, sha, hashes, places = [], [], [], [], []
             for t in b["text"]:
-                words = t.encode().split()
-                joined = b" ".join(words)
-                n.append(len(words))
+                h = common.hash_words(t.encode())
+                joined = b" ".join(t.encode().split())
+                n.append(len(h))
                 seq.append(xxhash.xxh3_128_digest(joined))
                 sha.append(hashlib.sha256(joined).hexdigest())
-                if len(words) >= window:
-                    g, at = anchors(common.word_hashes(words), window, gram)
+                if len(h) >= window:
+                    g, at = anchors(h, window, gram)
                     at = np.unique(at)
                     hashes.append(g[at].tobytes())
                     places.append(at.astype(np.int32).tobytes())
@@ -167,13 +148,15 @@ def _windows_of(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rid, text, weight, flagged in zip(batch["rid"], batch["text"], batch["weight"], batch["flagged"]):
-                words = text.encode().split()
-                _, at = anchors(common.word_hashes(words), window, gram)
-                start = np.flatnonzero(np.isin(at, flagged))
-                a, b = windows(words, window)
-                yield pd.DataFrame({"a": a[start].view(np.int64), "b": b[start].view(np.int64), "rid": rid, "start": start.astype(np.int32), "weight": weight})
+                h = common.hash_words(text.encode())
+                _, at = anchors(h, window, gram)
+                hit = np.zeros(len(h), bool)
+                hit[flagged] = True
+                start = np.flatnonzero(hit[at])
+                a, b = windows(h, window)
+                yield pd.DataFrame({"a": a[start].view(np.int64), "b": (b[start] >> np.uint64(32)).astype(np.uint32).view(np.int32), "rid": rid, "start": start.astype(np.int32), "weight": weight})
 
-    return rows.mapInPandas(buffered(run), "a long, b long, rid long, start int, weight int")
+    return rows.mapInPandas(buffered(run), "a long, b int, rid long, start int, weight int")
 
 
 def buffered(run):
@@ -210,6 +193,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     classes = long_ones.groupBy("seq").agg(F.count("*").alias("copies"), first)
     reps = classes.select("seq", "copies", F.col("r.doc_id").alias("doc_id"), F.col("r._k").alias("_k"), F.col("r.hashes").alias("hashes"), F.col("r.places").alias("places"))
     reps = common.written(reps.withColumn("rid", F.monotonically_increasing_id()), "classes")  # ids are fixed once written
+    copies = common.written(reps.where("copies > 1").select("seq", "copies"), "copies")
+    info = common.written(scanned.select("doc_id", "_k", "n_words", "sha", "seq"), "info")
+    common.discard(scanned)
     n = reps.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()[0] // 8
     width = 1 << max(10, int(CELLS * n - 1).bit_length())
     cells = common.written(repeated_cells(reps, width), "cells")
@@ -219,17 +205,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     flagged = marked.groupBy("rid").agg(F.collect_list("place").alias("flagged"))  # at most a document's anchors
     flagged = flagged.join(reps.select("rid", "doc_id", "_k", F.least("copies", F.lit(2)).cast("int").alias("weight")), "rid")
     flagged = common.written(flagged, "flagged")
+    common.discard(reps, cells)
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._k") == F.col(f"{b}._k"))
     one = docs.select(*_key()).alias("d").join(flagged.alias("f"), same("d", "f")).select("f.rid", "d.text", "f.weight", "f.flagged")
     # a row that repeats another wholly brings its windows again; they have copies, so their weight is 2 anyway
     found = common.written(_windows_of(one, window, gram), "windows")
-    repeated = found.groupBy("a", "b").agg(F.sum("weight").alias("n")).where("n > 1").select("a", "b")
+    # as a table of its own: the join below may then split a window that very many documents share
+    repeated = common.written(found.groupBy("a", "b").agg(F.sum("weight").alias("n")).where("n > 1").select("a", "b"), "repeated")
     hits = found.where("weight = 1").join(repeated, ["a", "b"], "left_semi")
     starts = hits.groupBy("rid").agg(F.collect_list("start").alias("starts"))
     repeats = flagged.select("rid", "doc_id", "_k").join(starts, "rid").drop("rid")
-    copies = classes.where("copies > 1").select("seq", "copies")
-    documents = scanned.select("doc_id", "_k", "n_words", "sha", "seq").join(copies, "seq", "left").drop("seq")
-    return documents, common.written(repeats, "repeats")
+    repeats = common.written(repeats, "repeats")
+    common.discard(found, repeated)
+    return info.join(copies, "seq", "left").drop("seq"), repeats
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
