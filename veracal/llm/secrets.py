@@ -50,14 +50,14 @@ def entropies(s: str, window: int = WINDOW) -> list[float]:
     counts: dict[str, int] = {}
     total, out, bits = 0.0, [], math.log2(window)
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        total += term[n + 1] - term[n]
-        counts[c] = n + 1
         if i >= window:
             gone = s[i - window]
             n = counts[gone]
             total += term[n - 1] - term[n]
             counts[gone] = n - 1
+        n = counts.get(c, 0)
+        total += term[n + 1] - term[n]
+        counts[c] = n + 1
         if i >= window - 1:
             out.append(bits - total / window)
     return out
