@@ -46,25 +46,36 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def link_buckets(members: DataFrame, confirm) -> DataFrame:
+def link_buckets(members: DataFrame, confirm, propose=None, confirm_proposed=None) -> DataFrame:
     """(node, component) of the nodes that confirmed pairs link, where pairs are sought within buckets.
 
     ``members`` has (key, node); ``confirm(pairs)`` returns those of the pairs (u, v), u < v, that hold.  No bucket is expanded
     into all of its pairs: each member first meets the bucket's least and greatest node; then only pairs that would join two
-    components within a bucket are tried.  A pair inside a component adds nothing, so no component is lost."""
-    buckets = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    components within a bucket are tried.  A pair inside a component adds nothing, so no component is lost.  ``propose`` may
+    replace the plain join that makes those pairs from rows (key, node, component), and ``confirm_proposed`` then ``confirm``."""
+    # tables of their own: a bucket that very many nodes share may then be split by the join
+    buckets = common.written(members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "buckets")
     members = common.written(members.join(buckets, "key"), "bucket-members")
+    common.discard(buckets)
     ends = F.array(F.struct(F.col("lo").alias("u"), F.col("node").alias("v")), F.struct(F.col("node").alias("u"), F.col("hi").alias("v")))
     first = members.select(F.explode(ends).alias("p")).select("p.u", "p.v").where("u < v").distinct()
     edges = common.written(confirm(first), "links")
-    found = components(edges)
+    found = common.written(components(edges), "components")
     of = members.join(found, "node", "left").select("key", "node", "lo", "hi", F.coalesce("component", "node").alias("component"))
     of = common.written(of, "bucket-components")
-    mixed = of.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-    inner = of.where("node <> lo and node <> hi").join(mixed, "key").select("key", "node", "component")
+    common.discard(members)
+    mixed = common.written(of.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key"), "mixed")
+    # the bucket's ends have met every member already
+    inner = common.written(of.where("node <> lo and node <> hi").join(mixed, "key").select("key", "node", "component"), "inner")
+    common.discard(of, mixed)
+    new = common.written((confirm_proposed or confirm)((propose or all_pairs)(inner)), "links")
+    if not new.isEmpty():
+        found = common.written(components(edges.union(new)), "components")
+    return found
+
+
+def all_pairs(inner: DataFrame) -> DataFrame:
+    """Pairs of nodes of one bucket and two components."""
     other = inner.select("key", F.col("node").alias("v"), F.col("component").alias("w"))
-    cross = inner.join(other, "key").where("component < w").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-    more = common.written(confirm(cross), "links")
-    if more.isEmpty():
-        return found
-    return components(edges.union(more))
+    cross = inner.join(other, "key").where("component < w")
+    return cross.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()

@@ -4,7 +4,7 @@ A document's set holds its distinct word shingles (ASCII lower case).  Documents
 cost one row each and no pairs.  Each node has ``BANDS * ROWS`` MinHash samples.  Nodes that agree on all rows of a band share
 a bucket; a pair at the least similarity misses every band with a probability of (1 - 0.8^6)^48 < 1e-6.  The samples are also
 folded into a parity bitmap (odd sketch): each sample toggles one bit, and the population count of two bitmaps' XOR estimates
-how many samples differ, precisely where the similarity is high.  Pairs whose estimate is below ``SIFT``, more than six
+how many samples differ, precisely where the similarity is high.  Pairs whose estimate is below ``SIFT``, more than five
 standard errors under the limit, are dropped; the others are confirmed on the full sets of their texts.
 
 No bucket is expanded into all of its pairs: first each member meets the bucket's least and greatest node, the confirmed
@@ -33,10 +33,14 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 48, 6
 SKETCH_BITS = 1024
-SIFT = 0.6
+SIFT = 0.65
+#: The second sketch, for nodes that might still join two components.
+FINE_SAMPLES, FINE_BITS, FINE_SIFT = 4096, 8192, 0.765
+SMALL, BLOCK_NODES = 24, 1024
 #: Shingles that are hashed at once; bounds the memory of very long texts.
 BLOCK = 8192
 
+_BASE = 0xA0761D6478BD642F
 _G = np.random.default_rng(20_241)
 _XOR = _G.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _G.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -44,18 +48,15 @@ _ROW = _G.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _PLACE = _G.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
+_FINE_XOR = _G.integers(0, 2**32, FINE_SAMPLES, dtype=np.uint32)
+_FINE_MUL = _G.integers(0, 2**32, FINE_SAMPLES, dtype=np.uint32) | np.uint32(1)
+_FINE_PLACE = _G.integers(0, 2**63, FINE_SAMPLES, dtype=np.uint64)
+
+
 def shingles(text: str, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; with fewer words, of the whole sequence."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = common.word_hashes(words)
-    size = min(size, len(words))
-    n = len(words) - size + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(size):
-        out = common.mix64(out + h[i : i + n]) if i else common.mix64(h[:n])
-    return np.unique(out)
+    h = common.hash_words(text.encode().lower())
+    return np.unique(common.rolling(h, min(size, len(h)), _BASE)) if len(h) else h
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
@@ -83,10 +84,30 @@ def odd_sketch(m: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_differing_bits(similarity: float) -> int:
+def most_differing_bits(similarity: float, samples: int = BANDS * ROWS, size: int = SKETCH_BITS) -> int:
     """The population count of the XOR that is expected at a similarity: above it the estimate is lower."""
-    differ = 2 * BANDS * ROWS * (1 - similarity)
-    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differ))
+    return int(size / 2 * (1 - (1 - 2 / size) ** (2 * samples * (1 - similarity))))
+
+
+FINE_BITS_APART = most_differing_bits(FINE_SIFT, FINE_SAMPLES, FINE_BITS)
+
+
+def fine_sketch(s: np.ndarray) -> bytes:
+    """An odd sketch of ``FINE_SAMPLES`` samples in ``FINE_BITS`` bits."""
+    bits = np.zeros(FINE_BITS, np.int64)
+    x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
+    for first in range(0, FINE_SAMPLES, 256):
+        at = slice(first, first + 256)
+        m = np.full(256, 2**32 - 1, np.uint32)
+        for i in range(0, len(x), BLOCK):
+            v = x[i : i + BLOCK, None] ^ _FINE_XOR[at]
+            v *= _FINE_MUL[at]
+            v ^= v >> np.uint32(15)
+            v *= np.uint32(0x2C1B3C6D)
+            np.minimum(m, v.min(0), out=m)
+        place = common.mix64(m.astype(np.uint64) + _FINE_PLACE[at]) >> np.uint64(64 - int(math.log2(FINE_BITS)))
+        bits += np.bincount(place.astype(np.int64), minlength=FINE_BITS)
+    return np.packbits((bits & 1).astype(np.uint8)).tobytes()
 
 
 def differing_bits(a: Column, b: Column) -> Column:
@@ -148,6 +169,83 @@ def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return p.where(differing_bits(F.col("s_u"), F.col("s_v")) <= most_differing_bits(SIFT)).select("u", "v").distinct()
 
 
+def propose(inner: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of one bucket and two components (key, node, component) that may reach the similarity.
+
+    Such nodes get a second, longer odd sketch from their texts, whose estimate is five standard errors safe down to
+    ``FINE_SIFT``.  Buckets of at most ``SMALL`` nodes are joined with themselves, with the first sketch in the condition.
+    Larger ones are cut into blocks of about ``BLOCK_NODES``; each two blocks meet in one task, where all sketches are compared
+    as arrays and only the pairs that pass become rows, once each: in the first band that they share."""
+    asked = inner.select("node").distinct()
+    texts = docs.select(F.col("doc_id").alias("node"), common.text_of().alias("text")).join(common.maybe_broadcast(asked), "node")
+
+    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "fine": [fine_sketch(shingles(t, size)) for t in b["text"]]})
+
+    kind = dict(docs.dtypes)["doc_id"]
+    fine = texts.mapInPandas(refine, f"node {kind}, fine binary").dropDuplicates(["node"])
+    facts = common.written(fine.join(nodes, "node"), "facts")
+    counts = common.written(inner.groupBy("key").agg(F.count("*").alias("many")), "bucket-sizes")
+    sized = inner.join(counts, "key")
+    small = sized.where(F.col("many") <= SMALL).join(facts.select("node", "n_shingles", "sketch"), "node")
+    side = lambda s: small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n_shingles", "sketch")])
+    near = (100 * F.least("n_shingles_u", "n_shingles_v") >= percent * F.greatest("n_shingles_u", "n_shingles_v")) & (
+        differing_bits(F.col("sketch_u"), F.col("sketch_v")) <= most_differing_bits(SIFT)
+    )
+    pairs = side("u").join(side("v"), "key").where((F.col("component_u") < F.col("component_v")) & near)
+    pairs = pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))
+
+    blocks = F.ceil(F.col("many") / BLOCK_NODES).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    large = sized.where(F.col("many") > SMALL).withColumn("_blocks", blocks).withColumn("_own", mine)
+    meets = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("_own", j).alias("i"), F.greatest("_own", j).alias("j")))
+    large = large.select("key", "node", "component", "_own", F.explode(meets).alias("_m"))
+    large = large.select("key", "node", "component", "_own", "_m.i", "_m.j").join(facts.select("node", "n_shingles", "bands", "fine"), "node")
+
+    def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        a = g[g["_own"] == key[1]]
+        return _block_pairs(key[0], a, a if key[1] == key[2] else g[g["_own"] == key[2]], percent)
+
+    found = large.groupBy("key", "i", "j").applyInPandas(compare, f"u {kind}, v {kind}")
+    # the small buckets' pairs meet the longer sketches too
+    pairs = pairs.distinct()
+    for n in ("u", "v"):
+        pairs = pairs.join(facts.select(F.col("node").alias(n), F.col("fine").alias(f"f_{n}")), n)
+
+    def sift_fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            if len(p):
+                x, y = (np.frombuffer(b"".join(p[c]), np.uint64).reshape(len(p), -1) for c in ("f_u", "f_v"))
+                yield p.loc[np.bitwise_count(x ^ y).sum(1) <= FINE_BITS_APART, ["u", "v"]]
+
+    return pairs.mapInPandas(sift_fine, f"u {kind}, v {kind}").union(found).distinct()
+
+
+def _block_pairs(band: int, a: pd.DataFrame, b: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs of two blocks of a bucket that pass, in the first band that they share."""
+    u, v = a["node"].to_numpy(), b["node"].to_numpy()
+    out_u, out_v = [], []
+    if len(a) and len(b):
+        ca, cb = a["component"].to_numpy(), b["component"].to_numpy()
+        na, nb = a["n_shingles"].to_numpy(), b["n_shingles"].to_numpy()
+        fa, fb = (np.frombuffer(b"".join(x["fine"]), np.uint64).reshape(len(x), -1) for x in (a, b))
+        ka, kb = (np.array(x["bands"].tolist(), np.int64) for x in (a, b))
+        for r in range(len(a)):
+            ok = (cb != ca[r]) & (100 * np.minimum(nb, na[r]) >= percent * np.maximum(nb, na[r]))
+            if a is b:
+                ok[: r + 1] = False
+            at = np.flatnonzero(ok)
+            at = at[np.bitwise_count(fb[at] ^ fa[r]).sum(1) <= FINE_BITS_APART]
+            if len(at):
+                shared = kb[at] == ka[r]
+                at = at[ka[r][shared.argmax(1)] == band]
+                out_u.append(np.full(len(at), u[r]))
+                out_v.append(v[at])
+    x, y = (np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_u, out_v))
+    return pd.DataFrame({"u": np.minimum(x, y), "v": np.maximum(x, y)})
+
+
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links), kept (the id is the component's)."""
     signed = common.written(sign(docs, size), "signed")
@@ -161,7 +259,10 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     def holds(pairs: DataFrame) -> DataFrame:
         return confirm(common.written(sift(pairs, nodes, percent), "pairs"), docs, size, percent)
 
-    found = link_buckets(members, holds)
+    def proposed_holds(pairs: DataFrame) -> DataFrame:
+        return confirm(common.written(pairs, "pairs"), docs, size, percent)
+
+    found = link_buckets(members, holds, lambda inner: propose(inner, nodes, docs, size, percent), proposed_holds)
     named = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "same").join(named, "same", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
