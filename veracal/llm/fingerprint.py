@@ -31,6 +31,11 @@ LEAF_HEX, NODE_HEX = 8, 16
 MOST_RANGES = 65_536
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def leaves(text: Column) -> Column:
     """Sections of paragraphs of leaf hashes: array<array<array<string>>>."""
     cut = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAVES), F.lit(0)), lambda x: F.substring(F.sha2(x, 256), 1, LEAF_HEX))
@@ -95,34 +100,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", F.length("_text").cast("long").alias("n_chars"), written_form(F.col("_t")).alias("fingerprint"))
 
 
-def _ranges(docs: DataFrame) -> tuple[Column, Column, int]:
-    """(range of a key, whether the key opens its range, number of ranges); the key is ``_key``.
+def _ranges(docs: DataFrame) -> tuple[Column, int]:
+    """(struct(bucket, opens) of a key: its range and whether it opens the range, number of ranges); the key is ``_key``.
 
-    Bounds are few and found in two steps of a square root of them each."""
+    Bounds are looked up in two steps of about the square root of their number."""
     spark = docs.sparkSession
-    n = min(MOST_RANGES, max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    at = [i / n for i in range(n)]
-    found = docs.agg(F.percentile_approx("_key", at, 20 * n).alias("b"), F.min("_key").alias("least")).first()
-    bounds = sorted({*(found["b"] or []), *([found["least"]] if found["least"] is not None else [])})
-    if not bounds:
-        bounds = [0]
+    n = min(MOST_RANGES, max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = docs.agg(F.percentile_approx("_key", [i / n for i in range(n)], 10 * n).alias("b"), F.min("_key").alias("least")).first()
+    bounds = sorted({*(found["b"] or []), *([found["least"]] if found["least"] is not None else [])}) or [0]
     wide = max(1, int(len(bounds) ** 0.5))
     rows = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
     key = F.col("_key")
-    firsts = F.array(*[F.lit(r[0]) for r in rows])
-    table = F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows])
-    upto = lambda a: F.size(F.filter(a, lambda b: b <= key))
-    row = F.greatest(upto(firsts) - 1, F.lit(0))
-    inside = F.greatest(upto(F.get(table, row)) - 1, F.lit(0))
-    return row * wide + inside, F.get(F.get(table, row), inside) == key, len(bounds)
+    firsts, table = F.from_json(F.lit(str([r[0] for r in rows])), "array<long>"), F.from_json(F.lit(str(rows)), "array<array<long>>")
+    last = lambda a: F.greatest(F.size(F.filter(a, lambda b: b <= key)) - 1, F.lit(0))  # noqa: E731  the last bound up to the key
+
+    def inside(row: Column, bound: Column) -> Column:
+        return let(last(bound), lambda i: F.struct((row * wide + i).alias("bucket"), (F.get(bound, i) == key).alias("opens")))
+
+    return let(last(firsts), lambda row: let(F.get(table, row), lambda bound: inside(row, bound))), len(bounds)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, _text and the text of the next document, ``_next``."""
     least = -(2**63)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("_key"), common.text_of().alias("_text"))
-    bucket, opens, n = _ranges(rows)
-    rows = rows.withColumn("_bucket", bucket).withColumn("_opens", opens)
+    place, n = _ranges(rows)
+    rows = rows.withColumn("_at", place).select("*", F.col("_at.bucket").alias("_bucket"), F.col("_at.opens").alias("_opens")).drop("_at")
     # a row that opens a range also visits the range before (the first range: the last one), behind all residents
     visits = F.when(F.col("_opens"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("_guest", F.explode(visits))
