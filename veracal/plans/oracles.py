@@ -112,7 +112,7 @@ def _with(ctes: str, select: str) -> str:
 
 _SCORED = _scored()
 _CELLS = """,
-ce AS (SELECT 'marginal' AS kind, NULL::INT AS class, count(*) AS n, count(*) FILTER (label = prediction) AS correct FROM zz
+ce AS (SELECT 'marginal' AS kind, -1 AS class, count(*) AS n, count(*) FILTER (label = prediction) AS correct FROM zz
        UNION ALL SELECT 'label', c, count(z.row_idx), count(*) FILTER (z.label = z.prediction) FROM (VALUES (0), (1)) v(c) LEFT JOIN zz z ON z.label = c GROUP BY c
        UNION ALL SELECT 'prediction', c, count(z.row_idx), count(*) FILTER (z.label = z.prediction) FROM (VALUES (0), (1)) v(c) LEFT JOIN zz z ON z.prediction = c GROUP BY c)"""
 _LONG = """,

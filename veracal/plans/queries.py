@@ -159,7 +159,7 @@ def policy_decisions(spark, sf_dir):
 @query
 def evaluate_conditional_cells(spark, sf_dir):
     c = evaluation.cells(Geo(spark, sf_dir).scored(), CLASSES)
-    return c.select("kind", "class", "n", "correct", r6("accuracy"))
+    return c.select("kind", F.coalesce("class", F.lit(-1)).alias("class"), "n", "correct", r6("accuracy"))
 
 
 @query
