@@ -166,7 +166,8 @@ def sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, per_doc: int = PER_DOC)
     rows = labelled.select("doc_id", "text", "lang", (draw * F.element_at(counts, F.col("lang"))).alias("_u"))
     start = lambda j: F.when(F.length("text") > WINDOW, F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.length("text") - WINDOW).cast("int") + 1).otherwise(1)
     pieces = F.array_distinct(F.array(*[F.substring("text", start(j), F.lit(WINDOW)) for j in range(per_doc)]))
-    rows = rows.where("_u is not null").select("_u", "doc_id", "lang", pieces.alias("_p")).orderBy("_u", "doc_id").limit(docs)
+    # _u is uniform up to the language's count: this keeps about so many of each, wherever they lie, before any sorting
+    rows = rows.where(F.col("_u") <= 1.25 * docs / len(found)).select("_u", "doc_id", "lang", pieces.alias("_p")).orderBy("_u", "doc_id").limit(docs)
     got = [(p.encode(), r["lang"]) for r in rows.collect() for p in r["_p"] if _LETTER.search(p)]
     return [p for p, _ in got], [n for _, n in got]
 
