@@ -512,3 +512,16 @@ def test_words_of_lines(texts):
     _, _, sizes, owner, number = lines.words_of_lines(texts)
     want = [(k, i, len(w)) for k, t in enumerate(texts) for i, x in enumerate(t.split("\n")) if (w := lines.normal_line(x).split())]
     assert list(zip(owner.tolist(), number.tolist(), sizes.tolist())) == want
+
+
+def test_short_words_count(docs):
+    """One long word changed among many short ones."""
+    texts = []
+    for k in range(20):
+        g = random.Random(k)
+        short = [g.choice("bcdfg") + g.choice("aeiou") + g.choice("xyz") for _ in range(60)]
+        texts += [" ".join(short + [end]) for end in ("elephant", "elephont")]
+    assert lines.words_of_lines(texts)[1].all()
+    got = {r["doc_id"]: r["_n_removed"] for r in lines.deduplicate(docs(texts)).collect()}
+    assert sum(got[k] for k in range(1, len(texts), 2)) > 0
+    assert all(got[k] == 0 for k in range(0, len(texts), 2))
