@@ -525,3 +525,51 @@ def test_short_words_count(docs):
     got = {r["doc_id"]: r["_n_removed"] for r in lines.deduplicate(docs(texts)).collect()}
     assert sum(got[k] for k in range(1, len(texts), 2)) > 0
     assert all(got[k] == 0 for k in range(0, len(texts), 2))
+
+
+def edited(text, g, share):
+    """The text with edits of single letters, at most ``share`` of its length."""
+    out = list(text)
+    for _ in range(int(len(text) * share)):
+        k = g.randrange(len(out))
+        out[k : k + 1] = g.choice(["", "q", out[k] + "q"])
+    return "".join(out)
+
+
+def test_near_forms_share_a_run():
+    """Forms below the bound: every near pair, by brute force.  Beyond: nearly all, even with edits all over the line."""
+    g = random.Random(8)
+    short = [f"{w}{x}" for w in WORDS for x in (" is here", "s are over there", " or something like it")]
+    short = [lines.normal_line(x) for w in short for x in (w, edited(w, g, 0.1), edited(w, g, 0.1))]
+    long = [lines.normal_line(x) for k in range(400) for w in [prose(k, g.randrange(6, 90))] for x in (w, edited(w, g, 0.09))]
+
+    def shared(forms, pairs):
+        held = [set() for _ in forms]
+        for key, i in zip(*(x.tolist() for x in lines.form_runs(forms)[:2])):
+            held[i].add(key)
+        return [bool(held[i] & held[j]) for i, j in pairs]
+
+    near = [(i, j) for i in range(len(short)) for j in range(i) if max(len(short[i]), len(short[j])) < lines.SHORT_FORM and short[i] != short[j] and lines.alike(short[i], short[j], 0.9)]
+    assert len(near) > 50 and all(shared(short, near))
+    near = [(i, i + 1) for i in range(0, len(long), 2) if lines.alike(long[i], long[i + 1], 0.9)]
+    assert len(near) > 300 and np.mean(shared(long, near)) >= 0.98
+
+
+def test_near_lines_are_found(docs):
+    """Lines with a word of ten or with letters all over changed, and a long word alone: all pairs of brute force are removed."""
+    g = random.Random(9)
+    texts = []
+    for k in range(40):
+        w = prose(900 + k, (3, 10, 30, 80)[k % 4])
+        texts += [w, edited(w, g, 0.06)]
+    texts += ["incomprehensibilities", "incomprehensibilitie", "apples" * 30, "apples" * 29 + "apple"]
+    forms = [lines.normal_line(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if forms[i] == forms[j] or lines.alike(forms[i], forms[j], 0.9):
+                a, b = sorted((group[i], group[j]))
+                group = [a if x == b else x for x in group]
+    got = {r["doc_id"]: r["_n_removed"] for r in lines.deduplicate(docs(texts)).collect()}
+    want = {i: int(group[i] != i) for i in range(len(texts))}
+    assert got == want and sum(want.values()) >= 35
