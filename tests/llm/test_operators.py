@@ -573,3 +573,13 @@ def test_near_lines_are_found(docs):
     got = {r["doc_id"]: r["_n_removed"] for r in lines.deduplicate(docs(texts)).collect()}
     want = {i: int(group[i] != i) for i in range(len(texts))}
     assert got == want and sum(want.values()) >= 35
+
+
+STORY = "".join(f"<p>Part {k} of the story, long enough, with commas, and stops. It goes on, as stories do.</p>" for k in range(6))
+TEASER = "".join(f"<p>Teaser {k}, of another story, long enough, with commas. It goes on, too.</p>" for k in range(3))
+
+
+@pytest.mark.parametrize("inside, outside", [(TEASER, STORY), (STORY, TEASER)])
+def test_content_beside_an_article(inside, outside):
+    got = html.main_text(f"<body><div class='text'>{outside}</div><article>{inside}</article></body>")
+    assert got.count("Part") == 6 and got.count("Teaser") == 3

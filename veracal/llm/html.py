@@ -233,8 +233,8 @@ def main_text(page: str | None) -> str:
             depth[number], marked[number] = d, tag in CONTAINERS
     total = sum(len(b.text) for b in chosen)
     articles = {k for k, v in marked.items() if v}
-    if articles and sum(len(b.text) for b in chosen if articles & set(b.inside)) >= 0.3 * total:
-        kept = [b for b in bs if articles & set(b.inside)]
+    if articles and sum(len(b.text) for b in chosen if articles & set(b.inside)) >= 0.5 * total:
+        kept = [b for b in bs if b.path in content or articles & set(b.inside)]
     else:
         holders = [k for k, v in size.items() if v >= 0.6 * total]
         holder = max(holders, key=lambda k: depth[k]) if holders else None
