@@ -583,3 +583,10 @@ TEASER = "".join(f"<p>Teaser {k}, of another story, long enough, with commas. It
 def test_content_beside_an_article(inside, outside):
     got = html.main_text(f"<body><div class='text'>{outside}</div><article>{inside}</article></body>")
     assert got.count("Part") == 6 and got.count("Teaser") == 3
+
+
+@pytest.mark.parametrize("wrapper", ["class='content has-sidebar'", "id='header-and-content'"])
+def test_words_on_a_wrapper(wrapper):
+    got = html.main_text(f"<body><div {wrapper}>{STORY}<div class='sidebar'>{TEASER}</div></div></body>")
+    assert got.count("Part") == 6 and "Teaser" not in got
+    assert html.main_text(f"<body><div {wrapper} hidden>{STORY}</div></body>") == ""

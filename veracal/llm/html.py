@@ -8,7 +8,8 @@ times the page's standard deviation, or if it lies inside the element (article,
 of the content paths' text: there headings and short paragraphs stand with long ones.
 
 Paths through navigation, headers, footers, asides, forms, scripts, styles and the like, or whose class, id or role words name
-menus, adverts, notices, sidebars or comments, never are content, nor are hidden elements.
+menus, adverts, notices, sidebars or comments, never are content, nor are hidden elements.  Such a word says nothing of an
+element with more than half of the text that elements and hiding leave: it wraps the page.
 
 Character references are decoded (but not in scripts), white space inside a block becomes one space, blocks are joined by an
 empty line in page order.  Nothing is cut or dropped for length.  Null is the empty page; an empty page or one without content
@@ -50,6 +51,8 @@ BAD_WORDS = frozenset(
     " subscription signup login search pagination pager toolbar skip hidden byline-share tags toc copyright legal complementary"
     " contentinfo banner-ad outbrain taboola".split()
 )
+#: What rules an element out: words, or what it is.
+NAMED, HIDDEN = 1, 2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose end tag may be missing: an opening tag on the left closes open ones on the right.
 CLOSES = {
@@ -66,25 +69,25 @@ MARKS = re.compile(r"[.,;:!?…。、！？]")
 SPLIT = re.compile(r"[^a-z]+")
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """(words of class, id and role; whether these or others rule the element out)."""
-    words, bad = [], False
+def _names(attributes: str) -> tuple[str, int]:
+    """(words of class, id and role; ``NAMED`` if these rule the element out, ``HIDDEN`` if others do, else 0)."""
+    words, bad = [], 0
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role"):
             plain = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()
             words.append(plain)
-            bad = bad or any(w in BAD_WORDS for w in SPLIT.split(plain))
+            bad = max(bad, NAMED * any(w in BAD_WORDS for w in SPLIT.split(plain)))
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            bad = True
+            bad = HIDDEN
     return " ".join(words), bad
 
 
 class Block:
-    __slots__ = ("path", "tags", "text", "linked", "never", "inside")
+    __slots__ = ("path", "tags", "text", "linked", "never", "named", "inside")
 
-    def __init__(self, path: str, tags: tuple, never: bool, inside: tuple):
-        self.path, self.tags, self.never, self.inside = path, tags, never, inside
+    def __init__(self, path: str, tags: tuple, never: bool, named: tuple, inside: tuple):
+        self.path, self.tags, self.never, self.named, self.inside = path, tags, never, named, inside
         self.text, self.linked = "", 0
 
 
@@ -92,7 +95,7 @@ def blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page, in order."""
     out: list[Block] = []
     #: open elements: (tag, name in the path, rules out, number)
-    stack: list[tuple[str, str, bool, int]] = []
+    stack: list[tuple[str, str, int, int]] = []
     parts: list[str] = []
     links, count = 0, 0
 
@@ -101,7 +104,7 @@ def blocks(page: str) -> list[Block]:
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
             own = [e for e in stack if e[0] in BLOCK or e[2]]
-            b = Block("/".join(e[1] for e in own), tuple(e[0] for e in own), any(e[2] for e in stack), tuple(e[3] for e in own))
+            b = Block("/".join(e[1] for e in own), tuple(e[0] for e in own), any(e[2] == HIDDEN for e in stack), tuple(e[3] for e in stack if e[2] == NAMED), tuple(e[3] for e in own))
             b.text, b.linked = text, min(links, len(text))
             out.append(b)
         parts, links = [], 0
@@ -161,13 +164,13 @@ def blocks(page: str) -> list[Block]:
             if tag in VOID:
                 parts.append(" " if tag in ("br", "wbr", "img") and tag != "wbr" else "")
                 continue
-            words, bad = _names(attributes) if attributes.strip("/ \t\r\n") else ("", False)
-            bad = bad or tag in NEVER
+            words, bad = _names(attributes) if attributes.strip("/ \t\r\n") else ("", 0)
+            bad = HIDDEN if tag in NEVER else bad
             # a header inside an article or section is its heading, not the site's
             if tag == "header" and not words and any(e[0] in ("article", "main", "section") for e in stack):
-                bad = False
+                bad = 0
             if tag in ("html", "body", "article", "main"):
-                bad = False
+                bad = 0
             if bad and tag not in BLOCK:
                 flush()
             count += 1
@@ -214,6 +217,12 @@ def main_text(page: str | None) -> str:
     """The main text of a page."""
     every = blocks(page or "")
     bs = [b for b in every if not b.never]
+    named: dict[int, int] = {}
+    for b in bs:
+        for number in b.named:
+            named[number] = named.get(number, 0) + len(b.text)
+    total = sum(len(b.text) for b in bs)
+    bs = [b for b in bs if all(2 * named[number] > total for number in b.named)]
     if not bs:
         return ""
     scores = path_scores(bs)
