@@ -590,3 +590,8 @@ def test_words_on_a_wrapper(wrapper):
     got = html.main_text(f"<body><div {wrapper}>{STORY}<div class='sidebar'>{TEASER}</div></div></body>")
     assert got.count("Part") == 6 and "Teaser" not in got
     assert html.main_text(f"<body><div {wrapper} hidden>{STORY}</div></body>") == ""
+
+
+def test_all_languages_are_sampled(docs):
+    rows = docs([(i, f"word{i} and more", f"l{max(0, i - 100)}", "s") for i in range(700)])
+    assert set(langid.sample(rows)[1]) == {f"l{k}" for k in range(600)}

@@ -10,7 +10,8 @@ each language, with ``PER_DOC`` pieces of each.  Every document is predicted fro
 are no inputs.  No shuffle but the sample's; the network (about 150 kB) is broadcast.
 
 Nulls and empties: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing is labelled.
-Null or repeated ids do no harm.  Languages beyond the ``MOST_LANGS`` most frequent are not learned.
+Null or repeated ids do no harm.  All languages are learned (each but for a chance of about 2e-9); the sample grows where there
+are more than ``SAMPLE_DOCS / LEAST_DOCS`` of them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SAMPLE_DOCS = 3000
 PER_DOC = 4
 EPOCHS = 5
 BATCH = 64
-MOST_LANGS = 500
+LEAST_DOCS = 20
 #: Windows that are in flight at once when predicting.
 CHUNK = 128
 _LETTER = re.compile(r"[^\W\d_]")
@@ -158,16 +159,17 @@ def predict(net: ByteNet, texts: list[str]) -> tuple[list[str], list[float]]:
 def sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, per_doc: int = PER_DOC) -> tuple[list[bytes], list[str]]:
     """Pieces of at most ``WINDOW`` code points from a bounded, repeatable, balanced sample of (doc_id, text, lang)."""
     labelled = labelled.where("text is not null and lang is not null and doc_id is not null")
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").cast("double").alias("_n"))
+    found = counts.count()
     if not found:
         return [], []
-    counts = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], float(r["count"]))])
+    docs = max(docs, LEAST_DOCS * found)
     draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(2**40)) / float(2**40)
-    rows = labelled.select("doc_id", "text", "lang", (draw * F.element_at(counts, F.col("lang"))).alias("_u"))
+    rows = labelled.join(common.maybe_broadcast(counts), "lang").select("doc_id", "text", "lang", (draw * F.col("_n")).alias("_u"))
     start = lambda j: F.when(F.length("text") > WINDOW, F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.length("text") - WINDOW).cast("int") + 1).otherwise(1)
     pieces = F.array_distinct(F.array(*[F.substring("text", start(j), F.lit(WINDOW)) for j in range(per_doc)]))
     # _u is uniform up to the language's count: this keeps about so many of each, wherever they lie, before any sorting
-    rows = rows.where(F.col("_u") <= 1.25 * docs / len(found)).select("_u", "doc_id", "lang", pieces.alias("_p")).orderBy("_u", "doc_id").limit(docs)
+    rows = rows.where(F.col("_u") <= 1.25 * docs / found).select("_u", "doc_id", "lang", pieces.alias("_p")).orderBy("_u", "doc_id").limit(docs)
     got = [(p.encode(), r["lang"]) for r in rows.collect() for p in r["_p"] if _LETTER.search(p)]
     return [p for p, _ in got], [n for _, n in got]
 
