@@ -33,44 +33,59 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v); component is the least node reachable."""
+    """(node, component) for every node of ``edges`` (u, v); component is the least node reachable.  A written table."""
     e = common.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(e)
     while before[0]:
-        e = common.written(_small_star(_large_star(e)), "edges")
+        last, e = e, common.written(_small_star(_large_star(e)), "edges")
+        common.discard(last)
         after = _state(e)
         if after == before:
             break
         before = after
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = common.written(stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    common.discard(e)
+    return out
 
 
 def link_buckets(members: DataFrame, confirm, propose=None, confirm_proposed=None) -> DataFrame:
     """(node, component) of the nodes that confirmed pairs link, where pairs are sought within buckets.
 
     ``members`` has (key, node); ``confirm(pairs)`` returns those of the pairs (u, v), u < v, that hold.  No bucket is expanded
-    into all of its pairs: each member first meets the bucket's least and greatest node; then only pairs that would join two
-    components within a bucket are tried.  A pair inside a component adds nothing, so no component is lost.  ``propose`` may
-    replace the plain join that makes those pairs from rows (key, node, component), and ``confirm_proposed`` then ``confirm``."""
+    into all of its pairs: each member first meets the bucket's least node and its hub, the node whose buckets are the largest
+    together (of copies of one text with edits here and there that is the text itself, or the least edited copy); then only
+    pairs that would join two components within a bucket are tried.  A pair inside a component adds nothing, so no component is
+    lost.  ``propose`` may replace the plain join that makes those pairs from rows (key, node, component), and
+    ``confirm_proposed`` then ``confirm``."""
     # tables of their own: a bucket that very many nodes share may then be split by the join
-    buckets = common.written(members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "buckets")
-    members = common.written(members.join(buckets, "key"), "bucket-members")
+    buckets = common.written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo")).where("n > 1"), "buckets")
+    shared = common.written(members.join(buckets, "key"), "bucket-members")
     common.discard(buckets)
-    ends = F.array(F.struct(F.col("lo").alias("u"), F.col("node").alias("v")), F.struct(F.col("node").alias("u"), F.col("hi").alias("v")))
+    weight = common.written(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    hubs = shared.select("key", "node").join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    hubs = common.written(hubs, "hubs")
+    common.discard(weight)
+    members = common.written(shared.join(hubs, "key"), "bucket-members")
+    common.discard(shared, hubs)
+    ends = F.transform(F.array("lo", "hub"), lambda x: F.struct(F.least(x, "node").alias("u"), F.greatest(x, "node").alias("v")))
     first = members.select(F.explode(ends).alias("p")).select("p.u", "p.v").where("u < v").distinct()
     edges = common.written(confirm(first), "links")
-    found = common.written(components(edges), "components")
-    of = members.join(found, "node", "left").select("key", "node", "lo", "hi", F.coalesce("component", "node").alias("component"))
+    found = components(edges)
+    of = members.join(found, "node", "left").select("key", "node", "lo", "hub", F.coalesce("component", "node").alias("component"))
     of = common.written(of, "bucket-components")
     common.discard(members)
     mixed = common.written(of.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key"), "mixed")
-    # the bucket's ends have met every member already
-    inner = common.written(of.where("node <> lo and node <> hi").join(mixed, "key").select("key", "node", "component"), "inner")
+    # the least node and the hub have met every member already
+    inner = common.written(of.where("node <> lo and node <> hub").join(mixed, "key").select("key", "node", "component"), "inner")
     common.discard(of, mixed)
     new = common.written((confirm_proposed or confirm)((propose or all_pairs)(inner)), "links")
+    common.discard(inner)
     if not new.isEmpty():
-        found = common.written(components(edges.union(new)), "components")
+        linked = components(edges.union(new))
+        common.discard(found)
+        found = linked
+    common.discard(edges, new)
     return found
 
 
