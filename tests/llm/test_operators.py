@@ -497,29 +497,42 @@ def test_forms_of(texts):
         assert list(zip(number, forms)) == want
 
 
-def test_packed_runs(spark):
-    """Lengths and places survive packing, and the condition on them excludes no pair with few enough edits."""
+def test_places(spark):
+    """Lengths and places survive packing, and the condition on them excludes hardly a near pair with a whole run."""
     g = random.Random(3)
     forms = [lines.normal_line(x) for k in range(60) for w in [prose(k, g.randrange(2, 30))] for x in (w, edited(w, g, 0.08))]
-    key, of, p = lines.packed_runs(forms, 0.9)
-    assert len(set(zip(key.tolist(), of.tolist()))) == len(key) and ((p >> 42) == [len(forms[i]) for i in of]).all()
-    held = {}
-    for k, i, x in zip(key.tolist(), of.tolist(), p.tolist()):
-        held.setdefault(i, {})[k] = x
-    rows = [(held[i][k], held[i + 1][k]) for i in range(0, len(forms), 2) if lines.alike(forms[i], forms[i + 1], 0.9) for k in held.get(i, {}).keys() & held.get(i + 1, {}).keys()]
-    df = spark.createDataFrame([*rows, (-(1 << 30), -(1 << 30) + 5)], "p long, q long").select(lines.may_be_near(F.col("p"), F.col("q"), 0.9).alias("ok"))
-    assert len(rows) > 100 and np.mean([r["ok"] for r in df.collect()]) > 0.97
+    key, of, place = lines.form_runs(forms)
+    size = np.array([len(f) for f in forms])[of]
+    assert all(lines.from_planes([lines.planes(x[:7], n), lines.planes(x[7:], n)], n, x.dtype).tolist() == x.tolist() for x, n in ((place, 3), (key, 8)))
+    held = [{} for _ in forms]
+    for k, i, x in zip(key.tolist(), of.tolist(), lines.pack(size, place, place).tolist()):
+        held[i].setdefault(k, x)
+    rows = [(held[i][k], held[i + 1][k]) for i in range(0, len(forms), 2) if lines.alike(forms[i], forms[i + 1], 0.9) for k in held[i].keys() & held[i + 1].keys()]
+    long = int(lines.pack(np.array([1 << 30]), np.array([5]), np.array([5]))[0])
+    rows += [(long, long - 9), (long, rows[0][0]), *[(x, y) for (x, _), (_, y) in zip(rows, rows[60:])]]
+    df = spark.createDataFrame(rows, "p long, q long").select(lines.may_be_near(F.col("p"), F.col("q"), 0.9).alias("ok"))
+    got = [r["ok"] for r in df.collect()]
+    n = (len(rows) - 2 + 60) // 2
+    assert got == lines.near_places(*np.array(rows).T, 0.9).tolist() and n > 100 and np.mean(got[:n]) > 0.97 and got[n : n + 2] == [True, False]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abc", max_size=25), st.text(alphabet="abc", max_size=25), st.integers(0, 12))
+def test_few_edits(a, b, most):
+    d = edit_distance(a, b)
+    assert lines.few_edits(a.encode(), b.encode(), most) == (d if d <= most else None)
+    assert lines.alike(a.encode(), b.encode(), 0.6) == (d <= lines.most_edits(max(len(a), len(b)), 0.6))
 
 
 def test_hot_keys_and_large_buckets(docs, monkeypatch):
     """Rows of hot keys are dealt over all tasks, large buckets meet by length: the result stays that of brute force."""
     monkeypatch.setattr(lines, "SAMPLE", 1)
     monkeypatch.setattr(lines, "LARGE", 2)
-    monkeypatch.setattr(lines, "HOT_SHARE", 100)
+    monkeypatch.setattr(lines, "FLUSH_KEYS", 100)
     phrase = "a phrase that is very common "
     texts = [phrase + prose(k // 2, 5 + k // 2 % 9) + ("x" if k % 2 else "") for k in range(120)]
-    assert not lines.hot_keys(lines.scan(docs(texts[:10]), 0.9)).count()
-    assert lines.hot_keys(lines.scan(docs(texts), 0.9)).count()
+    assert not len(lines.hot_keys(lines.scan(docs(texts[:10]), 0.9))[1])
+    assert len(lines.hot_keys(lines.scan(docs(texts), 0.9))[1])
     check_lines(docs, texts)
 
 
