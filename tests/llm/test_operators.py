@@ -516,12 +516,18 @@ def test_places(spark):
     assert got == lines.near_places(*np.array(rows).T, 0.9).tolist() and n > 100 and np.mean(got[:n]) > 0.97 and got[n : n + 2] == [True, False]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="abc", max_size=25), st.text(alphabet="abc", max_size=25), st.integers(0, 12))
-def test_few_edits(a, b, most):
-    d = edit_distance(a, b)
-    assert lines.few_edits(a.encode(), b.encode(), most) == (d if d <= most else None)
-    assert lines.alike(a.encode(), b.encode(), 0.6) == (d <= lines.most_edits(max(len(a), len(b)), 0.6))
+@pytest.mark.parametrize("least", [0.6, 0.75, 0.9, 0.97])
+def test_alike_pairs(least):
+    """Bands of one and of several words, distances right at the limit and beyond."""
+    g = random.Random(int(100 * least))
+    a, b = [], []
+    for k in range(400):
+        x = "".join(g.choice("ab cd") for _ in range(g.choice([3, 9, 20, 60, 64, 65, 130, 400, 900])))
+        y = edited(x, g, (1 - least) * g.choice([0.2, 0.8, 1, 1.1, 1.5]))
+        a.append(x.encode())
+        b.append((y[::-1] if k % 17 == 0 else y).encode())
+    got = lines.alike_pairs(a, b, least)
+    assert got.tolist() == [lines.alike(x, y, least) for x, y in zip(a, b)] and 80 < got.sum() < 390
 
 
 def test_hot_keys_and_large_buckets(docs, monkeypatch):
