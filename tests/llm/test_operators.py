@@ -321,6 +321,23 @@ def test_incremental_entropy(s):
         assert e == pytest.approx(-sum(c / secrets.WINDOW * log2(c / secrets.WINDOW) for c in n), abs=1e-9)
 
 
+@pytest.mark.parametrize("text", ["-" * 10_000 + "aB3" * 7 + "xQ9", "-_" * 500_000 + "a1B2", "a" * 1_000_000 + "B1", "ab1" * 400_000 + "Z", "é" + "aB-9/" * 300_000])
+def test_long_runs_end(text):
+    """Runs of dashes, of one letter and of one unit take linear time."""
+    from time import monotonic
+
+    began = monotonic()
+    secrets.scan(text)
+    assert monotonic() - began < 20
+    assert secrets.allowed("ab12" * 9) and not secrets.allowed("ab12" * 9 + "c") and not secrets.repeats("aab")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab", min_size=1, max_size=12))
+def test_repeats(s):
+    assert secrets.repeats(s) == any(s == s[:k] * (len(s) // k) for k in range(1, len(s)))
+
+
 def test_secret_digest(docs):
     texts = [None, *SECRETS]
     got = {r["doc_id"]: r for r in secrets.digest(secrets.scan_documents(docs(texts, ["spans"]))).collect()}
@@ -536,7 +553,7 @@ def test_hot_keys_and_large_buckets(docs, monkeypatch):
     monkeypatch.setattr(lines, "LARGE", 2)
     monkeypatch.setattr(lines, "FLUSH_KEYS", 100)
     phrase = "a phrase that is very common "
-    texts = [phrase + prose(k // 2, 5 + k // 2 % 9) + ("x" if k % 2 else "") for k in range(120)]
+    texts = [phrase + prose(k // 2, 15 + k // 2 % 9) + ("x" if k % 2 else "") for k in range(120)]
     assert not len(lines.hot_keys(lines.scan(docs(texts[:10]), 0.9))[1])
     assert len(lines.hot_keys(lines.scan(docs(texts), 0.9))[1])
     check_lines(docs, texts)

@@ -39,8 +39,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_RUN)
 #: Bits a character that a window must reach, by class; a window of 20 has 4.32 at most, of hexadecimal digits 3.92.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Parts between signs that read as words or plain numbers: paths, slugs, rules of dashes.
-WORDY = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+)(?:[+/_-]+(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+))*")
+#: Between signs, parts that read as words or plain numbers: paths, slugs, rules of dashes.
+PLAIN = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+")
+SIGNS = re.compile(r"[+/_-]+")
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -65,7 +66,20 @@ def entropies(s: str, window: int = WINDOW) -> list[float]:
 
 def allowed(s: str) -> bool:
     """Strings that look random to a window but are not secrets."""
-    return bool(UUID.fullmatch(s) or WORDY.fullmatch(s)) or (s + s).find(s, 1) < len(s)
+    return bool(UUID.fullmatch(s)) or all(map(PLAIN.fullmatch, SIGNS.split(s))) or repeats(s)
+
+
+def repeats(s: str) -> bool:
+    """Whether the string is one unit several times; by the lengths of its borders, in linear time."""
+    border = [0] * len(s)
+    k = 0
+    for i in range(1, len(s)):
+        while k and s[i] != s[k]:
+            k = border[k - 1]
+        k += s[i] == s[k]
+        border[i] = k
+    unit = len(s) - k
+    return unit < len(s) and len(s) % unit == 0
 
 
 def classify(s: str) -> str:
