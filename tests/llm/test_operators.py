@@ -443,6 +443,29 @@ def test_near_duplicates_edges(docs):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (2, 2, True), (2, 2, True), (3, 2, False)]
 
 
+def test_near_duplicates_of_one_id(docs):
+    """Rows of one id follow their texts: what is near one text of an id has nothing to do with the other."""
+    a, b = prose(21, 60), prose(22, 60)
+    got = neardup.link(docs([(1, a + " end", "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (3, b, "en", "s"), (3, b, "en", "s")]), key=True).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (3, 2, False)]
+    assert len({r["_k"] for r in got}) == 3
+
+
+def test_hub_links_copies(docs, monkeypatch):
+    """Copies of one text, each with other edits, are linked through the text itself without a look at all of their pairs."""
+    g, base, rows = random.Random(6), prose(5, 100).split(), []
+    for k in range(60):
+        w = list(base)
+        for _ in range(2 if k != 37 else 0):
+            w[g.randrange(100)] = f"new{k}x{g.randrange(99)}"
+        rows.append((k, " ".join(w), "en", "s"))
+    seen = []
+    plain = neardup.propose
+    monkeypatch.setattr(neardup, "propose", lambda inner, *a: (seen.append(inner.count()), plain(inner, *a))[1])
+    got = neardup.link(docs(rows)).collect()
+    assert {r["component_id"] for r in got} == {0} and seen == [0]
+
+
 def test_sketch_estimates():
     g = np.random.default_rng(0)
     a = g.integers(0, 2**63, 1000).astype(np.uint64)

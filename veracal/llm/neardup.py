@@ -7,13 +7,14 @@ folded into a parity bitmap (odd sketch): each sample toggles one bit, and the p
 how many samples differ, precisely where the similarity is high.  Pairs whose estimate is below ``SIFT``, more than five
 standard errors under the limit, are dropped; the others are confirmed on the full sets of their texts.
 
-No bucket is expanded into all of its pairs: first each member meets the bucket's least and greatest node, the confirmed
+No bucket is expanded into all of its pairs: first each member meets the bucket's least node and its hub, the confirmed
 pairs are contracted to components, and only pairs that join two components within a bucket are looked at then.  That finds
 every component, since a pair inside a component adds nothing.  Buckets are aggregated before they are shuffled and joined by
 joins that may be split; nothing is capped.
 
 Nulls and empties: documents without words, and null ids, are linked with nothing (component: their own id).  Rows with the
-same id follow each its own text.  An empty table gives an empty result.
+same id follow each its own text: nodes are texts, a component's id is the least id of all rows with its texts.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def differing_bits(a: Column, b: Column) -> Column:
 
 
 def sign(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, ``same`` (16 bytes, equal for equal sets; null for empty ones), bands, sketch."""
+    """doc_id, _k (hash of the text), n_shingles, ``same`` (16 bytes, equal for equal sets; null for empty ones), bands, sketch."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,19 +134,29 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                     same.append(None)
                     bands.append(None)
                     sketch.append(None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "same": same, "bands": bands, "sketch": sketch})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "_k": batch["_k"], "n_shingles": n, "same": same, "bands": bands, "sketch": sketch})
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", common.text_of().alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n_shingles long, same binary, bands array<long>, sketch array<long>")
+    rows = docs.select("doc_id", _hash(), common.text_of().alias("text"))
+    return rows.mapInPandas(run, f"doc_id {kind}, _k long, n_shingles long, same binary, bands array<long>, sketch array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _hash() -> Column:
+    return F.xxhash64(common.text_of()).alias("_k")
+
+
+def texts_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of ``ids``, each once."""
+    asked = common.maybe_broadcast(common.written(nodes.select("node", "doc_id", "_k").join(common.maybe_broadcast(ids), "node"), "asked"))
+    rows = docs.select("doc_id", _hash(), common.text_of().alias("text"))
+    return rows.join(asked, ["doc_id", "_k"]).select("node", "text").dropDuplicates(["node"])
+
+
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets reach the similarity.  Texts go only where a pair needs them."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), common.text_of().alias("text")).join(common.maybe_broadcast(ids), "id")
-    texts = common.written(texts, "pair-texts")
-    a, b = texts.select(F.col("id").alias("u"), F.col("text").alias("a")), texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
+    ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    texts = common.written(texts_of(ids, nodes, docs), "pair-texts")
+    a, b = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -157,8 +168,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 ok.append(union > 0 and 100 * both >= percent * union)
             yield p.loc[ok, ["u", "v"]]
 
-    kind = dict(pairs.dtypes)["u"]
-    return pairs.join(a, "u").join(b, "v").mapInPandas(run, f"u {kind}, v {kind}")
+    out = common.written(pairs.join(a, "u").join(b, "v").mapInPandas(run, "u long, v long"), "pair-links")
+    common.discard(texts)
+    return out
 
 
 def sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -177,15 +189,13 @@ def propose(inner: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
     Larger ones are cut into blocks of about ``BLOCK_NODES``; each two blocks meet in one task, where all sketches are compared
     as arrays and only the pairs that pass become rows, once each: in the first band that they share."""
     asked = inner.select("node").distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), common.text_of().alias("text")).join(common.maybe_broadcast(asked), "node")
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"node": b["node"], "fine": [fine_sketch(shingles(t, size)) for t in b["text"]]})
 
-    kind = dict(docs.dtypes)["doc_id"]
-    fine = texts.mapInPandas(refine, f"node {kind}, fine binary").dropDuplicates(["node"])
-    facts = common.written(fine.join(nodes, "node"), "facts")
+    fine = texts_of(asked, nodes, docs).mapInPandas(refine, "node long, fine binary")
+    facts = common.written(fine.join(nodes.drop("doc_id", "_k", "same"), "node"), "facts")
     counts = common.written(inner.groupBy("key").agg(F.count("*").alias("many")), "bucket-sizes")
     sized = inner.join(counts, "key")
     small = sized.where(F.col("many") <= SMALL).join(facts.select("node", "n_shingles", "sketch"), "node")
@@ -207,7 +217,7 @@ def propose(inner: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
         a = g[g["_own"] == key[1]]
         return _block_pairs(key[0], a, a if key[1] == key[2] else g[g["_own"] == key[2]], percent)
 
-    found = large.groupBy("key", "i", "j").applyInPandas(compare, f"u {kind}, v {kind}")
+    found = large.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
     # the small buckets' pairs meet the longer sketches too
     pairs = pairs.distinct()
     for n in ("u", "v"):
@@ -219,7 +229,7 @@ def propose(inner: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
                 x, y = (np.frombuffer(b"".join(p[c]), np.uint64).reshape(len(p), -1) for c in ("f_u", "f_v"))
                 yield p.loc[np.bitwise_count(x ^ y).sum(1) <= FINE_BITS_APART, ["u", "v"]]
 
-    return pairs.mapInPandas(sift_fine, f"u {kind}, v {kind}").union(found).distinct()
+    return pairs.mapInPandas(sift_fine, "u long, v long").union(found).distinct()
 
 
 def _block_pairs(band: int, a: pd.DataFrame, b: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -246,25 +256,33 @@ def _block_pairs(band: int, a: pd.DataFrame, b: pd.DataFrame, percent: int) -> p
     return pd.DataFrame({"u": np.minimum(x, y), "v": np.maximum(x, y)})
 
 
-def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable over links), kept (the id is the component's)."""
+def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable over links), kept (the id is the component's); with ``key`` also _k,
+    which tells apart rows of one id with different texts."""
     signed = common.written(sign(docs, size), "signed")
     usable = signed.where("same is not null and doc_id is not null")
-    nodes = common.written(
-        usable.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "nodes",
-    )
+    facts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
+    nodes = usable.groupBy("same").agg(F.min(F.struct("doc_id", "_k")).alias("_r"), *facts)
+    nodes = nodes.select("same", "_r.doc_id", "_r._k", "n_shingles", "bands", "sketch", F.monotonically_increasing_id().alias("node"))
+    nodes = common.written(nodes, "nodes")  # ids are fixed once written
     members = nodes.select("node", F.explode("bands").alias("key"))
+    signed_ids = common.written(signed.select("doc_id", "_k", "n_shingles", "same"), "signed-ids")
+    common.discard(signed)
 
     def holds(pairs: DataFrame) -> DataFrame:
-        return confirm(common.written(sift(pairs, nodes, percent), "pairs"), docs, size, percent)
+        return proposed_holds(sift(pairs, nodes, percent))
 
     def proposed_holds(pairs: DataFrame) -> DataFrame:
-        return confirm(common.written(pairs, "pairs"), docs, size, percent)
+        pairs = common.written(pairs, "pairs")
+        out = confirm(pairs, nodes, docs, size, percent)
+        common.discard(pairs)
+        return out
 
     found = link_buckets(members, holds, lambda inner: propose(inner, nodes, docs, size, percent), proposed_holds)
-    named = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "same").join(named, "same", "left")
+    of = nodes.select("same", "node", F.col("doc_id").alias("_first")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("_first").alias("component_id"))
+    named = of.join(least, "component").select("same", "component_id")
+    out = signed_ids.join(named, "same", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", *(["_k"] if key else []), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
