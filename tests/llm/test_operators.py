@@ -228,6 +228,56 @@ def test_broken_markup(text):
     html.main_text(text)
 
 
+def test_stray_quotes():
+    """A quote inside an unquoted value is part of it; quoted values may hold any sign."""
+    got = html.main_text("""<p class=a">Some text, with marks. More text.</p><p title='x>y' id="q" data-x=b'c>Second, paragraph.</p><p title=it's>Third, it is.</p>""")
+    assert got == "Some text, with marks. More text.\n\nSecond, paragraph.\n\nThird, it is."
+
+
+@pytest.mark.parametrize("page", ["<div>x, y." * 50_000, "<span>" * 50_000 + "<p>x, y." * 50_000, "<td>x" * 50_000 + "<li>y" * 50_000, "<a href=x>" * 50_000 + "z, z.", "<p x=\"" * 50_000, "<" * 200_000])
+def test_deep_pages(page):
+    from time import monotonic
+
+    began = monotonic()
+    html.main_text(page)
+    assert monotonic() - began < 20
+
+
+BOXES = "".join(f"<div class=k><span>Tiny {k}</span></div>" for k in range(12))
+
+
+def test_ratios_decide():
+    """Blocks that no list names go by the ratios of their paths; a word of doubt does not remove what has a text's ratios."""
+    story = "".join(f"<p>Part {k} of the story, long enough, with commas, and stops. It goes on, as stories do.</p>" for k in range(6))
+    got = html.main_text(f"<body>{BOXES}<div id=story>{story}</div><ul><li>One<li>Two</ul></body>")
+    assert got.count("Part") == 6 and "Tiny" not in got and "One" not in got
+    words = f"<div><p>{'word ' * 24}word.</p></div>" * 40
+    doubted = html.main_text(f"<body><div class=share><p>{'A text, with marks, that goes on, and on. ' * 90}</p></div>{words}</body>")
+    assert doubted.startswith("A text, with marks")
+
+
+def test_scores_by_definition():
+    """Ratios, smoothing, fusion and threshold by plain sums over the blocks."""
+    source = f"<body>{BOXES}<div id=story>{STORY}<h2>Head</h2><p>See <a href=x>this, link</a>.</p></div><div class=share><p>Share, it.</p></div></body>"
+    bs = html.Page(source).blocks
+    names = [b.path for b in bs]
+    kernel = {d: np.exp(-d * d / 2) for d in range(-2, 3)}
+
+    def smooth(x):
+        return [sum(kernel[d] * x[i + d] for d in kernel if 0 <= i + d < len(x)) / sum(kernel[d] for d in kernel if 0 <= i + d < len(x)) for i in range(len(x))]
+
+    text = [np.mean([len(b.text) - b.linked for b in bs if b.path == n]) for n in names]
+    marks = [np.mean([sum(c in ".,;:!?" for c in b.text) * (1 - b.linked / len(b.text)) for b in bs if b.path == n]) for n in names]
+    fused = np.sqrt(np.array(smooth(text)) * smooth(marks))
+    size = np.array([len(b.text) for b in bs])
+    want = {n: (fused * size)[np.array(names) == n].sum() / size[np.array(names) == n].sum() for n in names}
+    assert html.path_scores(bs) == pytest.approx(want)
+    share = {bs[-1].path}
+    score = {n: v * (html.DOUBT if n in share else 1) for n, v in want.items()}
+    mean = sum(score[n] * k for n, k in zip(names, size)) / size.sum()
+    assert html.content_paths(bs, share) == {n for n, v in score.items() if v > 0 and v >= html.THRESHOLD * mean}
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html.extract(df).collect()}
