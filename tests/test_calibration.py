@@ -33,6 +33,7 @@ def close(a, b):
 def test_regions(spark, labels, p, q, expected):
     predictions = np.argmax(p, 1)
     close(calibration.nested_regions(frame(spark, labels, p, q, predictions), 2, 0.1), expected)
+    close(calibration.nested_regions(frame(spark, labels, p, q, predictions), 2, 0.1, local_rows=0), expected)
     close(calibration.nested_regions_local(p, q, labels, predictions, 2, 0.1), expected)
 
 
@@ -75,6 +76,7 @@ def test_random_frame(spark):
     y = np.array([g.choice(3, p=r) for r in p])
     q, k = np.round(g.random(120) * 12) / 4, p.argmax(1)
     close(calibration.nested_regions(frame(spark, y, p, q, k), 3, 0.1), direct(p, q, y, k, 3, 0.1, 0))
+    close(calibration.nested_regions(frame(spark, y, p, q, k), 3, 0.1, local_rows=0), direct(p, q, y, k, 3, 0.1, 0))
 
 
 def test_class_values_and_ranks(spark):

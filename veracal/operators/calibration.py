@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions import scores
 
+#: Rows up to which the ladder is fitted over arrays on the driver; more are fitted by aggregates for each alpha.
+LOCAL_ROWS = 200_000
+
 REGION = T.StructType(
     [T.StructField("alpha", T.DoubleType()), T.StructField("q_min", T.DoubleType()), T.StructField("thresholds", T.ArrayType(T.DoubleType()))]
 )
@@ -79,13 +82,21 @@ def _candidate(rest: DataFrame, alpha: float, classes: int) -> tuple | None:
     return cutoff, [dict((r["label"], float(r["t"])) for r in got).get(c, 0.0) for c in range(classes)]
 
 
-def nested_regions(df: DataFrame, classes: int, resolution: float = 0.05, ood_limit: int = scores.OOD_LIMIT) -> list[tuple]:
+def nested_regions(df: DataFrame, classes: int, resolution: float = 0.05, ood_limit: int = scores.OOD_LIMIT, local_rows: int | None = None) -> list[tuple]:
     """[(alpha, q_min, thresholds)] from calibration rows (label, prediction, sdm, q_prime), from the highest alpha down.
 
-    Each alpha costs two small aggregates; only cutoffs and thresholds come to the driver."""
+    Up to ``local_rows`` rows (``LOCAL_ROWS``) take one job.  With more, each alpha costs two aggregates, and only cutoffs and
+    thresholds come to the driver."""
+    most = LOCAL_ROWS if local_rows is None else local_rows
     p = F.transform("sdm", lambda x: x.cast("float"))
+    few = df.select("label", "prediction", p.alias("sdm"), "q_prime").limit(most + 1).toPandas()
+    if len(few) <= most:
+        if not len(few):
+            return []
+        columns = (few[c].to_numpy() for c in ("q_prime", "label", "prediction"))
+        return nested_regions_local(np.array(few["sdm"].tolist(), np.float32), *columns, classes, resolution, ood_limit)
     rest = df.select("label", "prediction", p.alias("sdm"), F.col("q_prime").cast("float").alias("_q")).where(F.floor("_q") > ood_limit)
-    rest = rest.withColumn("_own", F.get("sdm", F.col("label"))).persist()
+    rest = held = rest.withColumn("_own", F.get("sdm", F.col("label"))).persist()
     out = []
     for alpha in scores.ladder(resolution):
         found = _candidate(rest, alpha, classes)
@@ -97,6 +108,7 @@ def nested_regions(df: DataFrame, classes: int, resolution: float = 0.05, ood_li
         rest = rest.where(~scores.accepts(F.col("sdm"), F.col("_q"), F.col("prediction"), region, ood_limit))
         if rest.isEmpty():
             break
+    held.unpersist()
     return out
 
 

@@ -80,7 +80,7 @@ def split(df: DataFrame, seed: int) -> DataFrame:
     row) for calibration.  The order is that of MD5(seed:id), which other engines share."""
     drawn = df.select("id", "label", F.md5(F.concat_ws(":", F.lit(str(seed)), "id")).alias("_o"))
     placed = with_index(drawn, "_at", "_o", "id")
-    placed = with_index(placed.withColumn("_key", F.lpad("id", 20, "0")), "pool_index", "_key")
+    placed = with_index(placed.withColumn("_len", F.length("id")), "pool_index", "_len", "id")  # numbers by value
     n = df.count()
     half = n // 2
     first = F.col("_at") < half
@@ -91,9 +91,10 @@ def split(df: DataFrame, seed: int) -> DataFrame:
 
 
 def export(sources: DataFrame, members: DataFrame, role: str) -> DataFrame:
-    """Source rows of one role of a saved membership, in its order; each member must have its source, with the same label."""
-    m = members.where(F.col("selected_split") == role).select("id", F.col("label").alias("_label"), "selected_index")
-    out = m.join(sources, "id", "left")
+    """Source rows of one role of a saved membership, in its order; each member must have its source, with the same label.
+    The membership's other columns stay, in place of those of the sources with their names."""
+    m = members.where(F.col("selected_split") == role).withColumnRenamed("label", "_label")
+    out = m.join(sources.drop(*[c for c in m.columns if c != "id"]), "id", "left")
     same = F.assert_true(F.coalesce(F.col("label") == F.col("_label"), F.lit(False)), F.concat(F.lit("source missing or label changed: "), "id"))
     checked = out.withColumn("selected_index", F.when(same.isNull(), F.col("selected_index")))
     return checked.drop("_label").orderBy("selected_index")

@@ -59,18 +59,17 @@ def knn(queries: DataFrame, support: DataFrame, k: int, strategy: str = "sql", v
     own = F.col(exclude) if exclude else F.lit(None).cast("long")
     q = queries.select("row_idx", own.alias("_own"), F.col(vector).alias("_q"))
     s = support.select("support_idx", F.col(vector).alias("_s"))
+    if strategy not in ("sql", "arrow"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if _bytes(support, vector) > BROADCAST_BYTES:
+        return _tiled(q, s, k)
     if strategy == "sql":
-        small = _bytes(support, vector) <= BROADCAST_BYTES
-        pairs = q.join(F.broadcast(s) if small else s, F.coalesce(F.col("_own") != F.col("support_idx"), F.lit(True)), "inner")
+        pairs = q.join(F.broadcast(s), F.coalesce(F.col("_own") != F.col("support_idx"), F.lit(True)), "inner")
         pairs = pairs.select("row_idx", "_own", "support_idx", squared_distance(F.col("_q"), F.col("_s")).alias("d2"))
         w = Window.partitionBy("row_idx").orderBy("d2", "support_idx")
         ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         return ranked.where(F.col("rank") <= k - F.col("_own").isNotNull().cast("int")).select("row_idx", "rank", "support_idx", "d2")
-    if strategy != "arrow":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if _bytes(support, vector) <= BROADCAST_BYTES:
-        return _small(q, s, k)
-    return _tiled(q, s, k)
+    return _small(q, s, k)
 
 
 SCHEMA = "row_idx long, rank int, support_idx long, d2 double"

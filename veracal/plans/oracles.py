@@ -62,14 +62,14 @@ def _admits(a: str, p0: str, p1: str, qp: str, r: str) -> str:
     return f"(floor({qp}) > 0 AND ({qp})::FLOAT >= {r}.q_min AND {reach} AND {mine})"
 
 
-def _ladder() -> str:
+def _ladder(resolution: float = RESOLUTION) -> str:
     """For each alpha: the cutoff and thresholds among the rows left, as r0, r1, ..; then the rows left after it."""
     out = [
         f"{_SIZES}",
         "l0 AS (SELECT row_idx, label, prediction, p0::FLOAT AS p0, p1::FLOAT AS p1, qp::FLOAT AS qp,"
         " (CASE label WHEN 0 THEN p0 ELSE p1 END)::FLOAT AS own FROM pb WHERE part = 1 AND floor(qp::FLOAT) > 0)",
     ]
-    for i, alpha in enumerate(ladder(RESOLUTION)):
+    for i, alpha in enumerate(ladder(resolution)):
         tail = round(1 - alpha, 10)
         out.append(
             f"c{i} AS (SELECT min(qp) AS cut FROM (SELECT a.qp, count(*) FILTER (b.label = 0) AS k0, count(*) FILTER (b.label = 1) AS k1,"
@@ -83,7 +83,7 @@ def _ladder() -> str:
         pick = lambda c: f"(SELECT greatest(v[least(floor({tail}::DOUBLE * len(v)), len(v) - 1)::INT + 1], 0) FROM t{i} WHERE label = {c})"  # noqa: E731,B023
         out.append(f"r{i} AS (SELECT {i} AS rung, {alpha}::DOUBLE AS alpha, cut AS q_min, {pick(0)} AS t0, {pick(1)} AS t1 FROM c{i} WHERE cut IS NOT NULL)")
         out.append(f"l{i + 1} AS (SELECT x.* FROM l{i} x LEFT JOIN r{i} r ON true WHERE r.alpha IS NULL OR NOT {_admits('x', 'x.p0', 'x.p1', 'x.qp', 'r')})")
-    union = " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(len(ladder(RESOLUTION))))
+    union = " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(len(ladder(resolution))))
     out.append(f"rg AS (SELECT row_number() OVER (ORDER BY alpha DESC) - 1 AS ord, * FROM ({union}))")
     return ",\n".join(out)
 
@@ -121,20 +121,42 @@ sg AS (SELECT unnest(['predicted_logit', 'logit_margin', 'predicted_sdm', 'q', '
                       q::DOUBLE, qp, d, d0, centroid_alpha, lower_alpha]) AS v FROM zz)"""
 _DOCS = """ld AS (SELECT d.doc_id::VARCHAR AS id, coalesce(l.quality, -1) AS label, d.text AS document FROM documents d LEFT JOIN labels l USING (doc_id))"""
 _SPLIT = f"""{_DOCS},
-dr AS (SELECT id, label, row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS k, row_number() OVER (ORDER BY lpad(id, 20, '0')) - 1 AS pool_index FROM ld WHERE label >= 0),
+dr AS (SELECT id, label, row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS k, row_number() OVER (ORDER BY length(id), id) - 1 AS pool_index FROM ld WHERE label >= 0),
 mb AS (SELECT id, label, pool_index, CASE WHEN k < h THEN 'training' ELSE 'calibration' END AS selected_split, CASE WHEN k < h THEN k ELSE k - h END AS selected_index
        FROM dr, (SELECT count(*) // 2 AS h FROM dr))"""
 
+_SQUARES = "list_sum([(q.embedding[i]::DOUBLE - s.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - s.embedding[i]::DOUBLE) for i in range(1, 65)])"
+
+
+def _whole_knn(excluded: str) -> str:
+    """All rows against all rows; rows that meet the condition are left out of their own lists."""
+    return f"""SELECT row_idx, rank, support_idx, round(d2, 6) AS d2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY d2, support_idx) AS rank FROM (
+    SELECT q.vec_id AS row_idx, s.vec_id AS support_idx, {_SQUARES} AS d2, ({excluded}) AS own FROM embeddings q, embeddings s
+    WHERE NOT (({excluded}) AND q.vec_id = s.vec_id))) WHERE rank <= {K} - own::INT"""
+
+
+def _weight(j: int) -> str:
+    return f"list_sum([((i - 1 + {j}) % 5 - 2) / 4.0::DOUBLE * (embedding[i]::DOUBLE - 0.5) / 2.0 for i in range(1, 65)])"
+
+
 ORACLES: dict[str, str] = {
+    "knn_topk": _whole_knn("false"),
+    "knn_topk_arrow": _whole_knn("false"),
+    "knn_self_excluded": _whole_knn("true"),
+    "knn_mixed_exclusion": _whole_knn("q.vec_id % 2 = 0"),
+    "nearest_matches": _with(_ROWS + "," + _knn("q.part = 2"), "SELECT row_idx, rank, support_idx, (support_idx * 3)::VARCHAR AS id, label, predicted_label, round(d2, 6) AS d2 FROM n WHERE rank <= 3"),
+    "global_normalization": "SELECT round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) AS n FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)",
+    "feature_composition": "SELECT vec_id, (len(embedding) + CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END)::INT AS n, round(embedding[1]::DOUBLE, 6) AS first, round(CASE WHEN vec_id % 2 = 0 THEN label::DOUBLE ELSE embedding[len(embedding)]::DOUBLE END, 6) AS last FROM embeddings",
+    "adaptor_projection": f"WITH e AS (SELECT vec_id, {_weight(0)} + 0.1 AS e0, {_weight(1)} - 0.2 AS e1, {_weight(2)} + 0.3 AS e2 FROM embeddings) SELECT vec_id, round(e0, 6) AS e0, round(e1, 6) AS e1, round(e2, 6) AS e2, round(e0 - 0.5 * e1 + 0.25 * e2, 6) AS z0, round(0.5 * e0 + e1 - e2 + 0.125, 6) AS z1 FROM e",
+    "pooled_rows": _with(_ROWS, "SELECT row_number() OVER (ORDER BY part, row_idx) - 1 AS pool_index, row_idx, part, label FROM f WHERE part < 2"),
+    "class_coverage": "SELECT c::INT AS missing FROM range(12) t(c) WHERE c NOT IN (SELECT label FROM embeddings)",
+    "recalibrated_regions": _with(_ladder(0.1), "SELECT ord, round(alpha, 6) AS alpha, round(q_min::DOUBLE, 6) AS q_min, round(t0::DOUBLE, 6) AS t0, round(t1::DOUBLE, 6) AS t1 FROM rg"),
     "score_flagship": _with(_SCORED, "SELECT row_idx AS vec_id, prediction, q, round(d0, 6) AS d0, round(d, 6) AS d, round(qp, 6) AS q_prime, round(centroid_alpha, 6) AS centroid_alpha, round(lower_alpha, 6) AS lower_alpha FROM zz"),
-    "knn_topk": _with(_ROWS + "," + _knn("q.part = 2"), "SELECT row_idx, rank, support_idx, round(d2, 6) AS d2 FROM n"),
-    "knn_topk_arrow": _with(_ROWS + "," + _knn("q.part = 2"), "SELECT row_idx, rank, support_idx, round(d2, 6) AS d2 FROM n"),
-    "knn_self_excluded": _with(_ROWS + "," + _knn("q.part = 0", True), "SELECT row_idx, rank, support_idx, round(d2, 6) AS d2 FROM n"),
     "similarity_q": _with(_SIGNALS, "SELECT row_idx, q FROM si"),
     "nearest_distance_d0": _with(_SIGNALS, "SELECT row_idx, round(d0, 6) AS d0, nearest FROM si"),
     "class_centroid_logits": _with(_ROWS, "SELECT row_idx, round(z0, 6) AS z0, round(z1, 6) AS z1 FROM pr"),
     "argmax_prediction": _with(_ROWS, "SELECT row_idx, label, prediction FROM pr"),
-    "global_normalization": _with(_ROWS, "SELECT round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) AS n FROM (SELECT unnest([x1, x2, x3, x4]) AS v FROM f WHERE part = 0)"),
     "distance_cdf": _with(_SIGNALS, "SELECT label AS class, row_number() OVER (PARTITION BY label ORDER BY v) - 1 AS pos, round(v, 6) AS v FROM dc"),
     "distance_quantile": _with(_PROBABILITIES, "SELECT row_idx, round(d, 6) AS d FROM pb"),
     "distance_quantile_ranked": _with(_PROBABILITIES, "SELECT row_idx, round(d, 6) AS d FROM pb"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import calibration, datasets, evaluation, features, knn
-from . import tasks
+from . import model, tasks
 from .tasks import CLASSES, K, Geo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,21 +34,36 @@ def score_flagship(spark, sf_dir):
 
 @query
 def knn_topk(spark, sf_dir):
-    g = Geo(spark, sf_dir)
-    return knn.knn(g.rows.where("part = 2"), g.support, K).select("row_idx", "rank", "support_idx", r6("d2"))
+    q, s = tasks.whole_vectors(spark, sf_dir)
+    return knn.knn(q, s, K).select("row_idx", "rank", "support_idx", r6("d2"))
 
 
 @query
 def knn_topk_arrow(spark, sf_dir):
-    g = Geo(spark, sf_dir)
-    return knn.knn(g.rows.where("part = 2"), g.support, K, "arrow").select("row_idx", "rank", "support_idx", r6("d2"))
+    q, s = tasks.whole_vectors(spark, sf_dir)
+    return knn.knn(q, s, K, "arrow").select("row_idx", "rank", "support_idx", r6("d2"))
 
 
 @query
 def knn_self_excluded(spark, sf_dir):
+    q, s = tasks.whole_vectors(spark, sf_dir)
+    return knn.knn(q.withColumn("own", F.col("row_idx")), s, K, exclude="own").select("row_idx", "rank", "support_idx", r6("d2"))
+
+
+@query
+def knn_mixed_exclusion(spark, sf_dir):
+    """Only even rows are left out of their own lists, and get one neighbour less."""
+    q, s = tasks.whole_vectors(spark, sf_dir)
+    q = q.withColumn("own", F.when(F.col("row_idx") % 2 == 0, F.col("row_idx")))
+    return knn.knn(q, s, K, "arrow", exclude="own").select("row_idx", "rank", "support_idx", r6("d2"))
+
+
+@query
+def nearest_matches(spark, sf_dir):
+    """The nearest support rows with their attributes, for display."""
     g = Geo(spark, sf_dir)
-    q = g.rows.where("part = 0").withColumn("own", (F.col("row_idx") / 3).cast("long"))
-    return knn.knn(q, g.support, K, exclude="own").select("row_idx", "rank", "support_idx", r6("d2"))
+    m = model.matches(g.rows.where("part = 2"), g.support, 3).select("row_idx", F.explode("matches").alias("m"))
+    return m.select("row_idx", "m.rank", "m.support_idx", "m.id", "m.label", "m.predicted_label", F.round("m.d2", 6).alias("d2"))
 
 
 @query
@@ -73,8 +88,51 @@ def argmax_prediction(spark, sf_dir):
 
 @query
 def global_normalization(spark, sf_dir):
-    v = tasks.vectors(spark, sf_dir).where("part = 0").select(F.explode("x").alias("v"))
-    return v.agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.count("*").alias("n"))
+    """Over all components of all rows."""
+    rows = features.compose(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding")
+    mean, std = features.normalization(rows)
+    return rows.agg(F.sum(F.size("x")).alias("n")).select(F.lit(round(mean, 6)).alias("mean"), F.lit(round(std, 6)).alias("std"), "n")
+
+
+@query
+def feature_composition(spark, sf_dir):
+    """Embedding first, then attributes; a row without one of them has what there is."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.array(F.col("label").cast("float")).alias("attributes"))
+    e = e.withColumn("attributes", F.when(F.col("vec_id") % 2 == 0, F.col("attributes")))
+    x = features.compose(e).select("vec_id", F.size("x").alias("n"), F.get("x", 0).cast("double").alias("a"), F.element_at("x", -1).cast("double").alias("b"))
+    return x.select("vec_id", "n", F.round("a", 6).alias("first"), F.round("b", 6).alias("last"))
+
+
+@query
+def adaptor_projection(spark, sf_dir):
+    """Both layers over the normalised vectors, with small fixed weights."""
+    w = {"w1": [[((i + j) % 5 - 2) / 4 for i in range(64)] for j in range(3)], "b1": [0.1, -0.2, 0.3], "w2": [[1.0, -0.5, 0.25], [0.5, 1.0, -1.0]], "b2": [0.0, 0.125]}
+    e = features.compose(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding")
+    p = features.project(e, w, 0.5, 2.0)
+    names = [("exemplar", i, f"e{i}") for i in range(3)] + [("z", i, f"z{i}") for i in range(2)]
+    return p.select("vec_id", *[F.round(F.get(c, i), 6).alias(n) for c, i, n in names])
+
+
+@query
+def pooled_rows(spark, sf_dir):
+    """Training rows first, then calibration rows, with one index."""
+    rows = Geo(spark, sf_dir).rows.select("row_idx", "part", "label")
+    return datasets.pool(rows.where("part = 0"), rows.where("part = 1")).select("pool_index", "row_idx", "part", "label")
+
+
+@query
+def class_coverage(spark, sf_dir):
+    """Classes of the labels 0 to 11 that no row has."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label")
+    return spark.createDataFrame([(c,) for c in datasets.missing_classes(rows, 12)], "missing int")
+
+
+@query
+def recalibrated_regions(spark, sf_dir):
+    """The ladder refitted from the calibration rows at another resolution."""
+    g = Geo(spark, sf_dir)
+    found = calibration.regions_frame(spark, calibration.nested_regions(g.probabilities().where("part = 1"), CLASSES, 0.1))
+    return found.select("ord", r6("alpha"), r6("q_min"), F.round(F.get("thresholds", 0), 6).alias("t0"), F.round(F.get("thresholds", 1), 6).alias("t1"))
 
 
 @query

@@ -43,6 +43,12 @@ def support(rows: DataFrame) -> DataFrame:
     )
 
 
+def whole_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, support): all rows with all of their components, as both."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("row_idx"), F.transform("embedding", lambda v: v.cast("double")).alias("exemplar"))
+    return e, e.withColumnRenamed("row_idx", "support_idx")
+
+
 class Geo:
     """The stages of the task; each query takes what it needs."""
 
