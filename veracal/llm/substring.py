@@ -11,7 +11,8 @@
    counted (before they are shuffled, so a passage in a third of all documents is one row a task) and matched again.
 5. Texts with repeated windows are read once more and their covered words removed.
 
-Two different windows share a hash with a probability of 2^-96; among 10^13 windows none is to be expected.
+Both hashes of a window are built from 64-bit hashes of its words, so words that share one (probability 2^-64 a pair) are taken
+for equal; windows of different word hashes share their 96 bits with a probability of 2^-96.
 
 No step gathers a passage's occurrences in one task: counts are partial sums, matches are semi-joins that may be split.
 
