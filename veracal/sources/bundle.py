@@ -1,4 +1,4 @@
-"""Dataset bundles: a folder with a manifest, JSON Lines rows and float matrices, read in row ranges and written in parallel.
+"""Dataset bundles: a folder with a manifest, JSON Lines rows and float matrices, read in row ranges, written row by row on the driver.
 
 ``read_bundle`` gives rows in order (row_idx) with typed columns and all other keys as JSON text in ``extra``.  The bundle's
 folder must be visible to the driver and all executors, as the format is a plain folder of files."""
