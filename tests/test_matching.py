@@ -69,3 +69,56 @@ def test_empty_sides(spark):
     assert knn.knn(none, frame(spark, SUPPORT, "support_idx"), 3, "arrow").count() == 0
     with pytest.raises(ValueError):
         knn.knn(none, none.withColumn("support_idx", F.lit(1)), 3, "other")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("size", [4, 24])
+def test_summed_distances_make_no_table_of_pairs(spark, size, monkeypatch):
+    """Boxes and products against all distances, with copies, own rows and shared lists; nothing but k rows a query leaves."""
+    monkeypatch.setattr(knn, "BOX", 8)
+    monkeypatch.setattr(knn, "NEAR_QUERIES", 4)
+    g = np.random.default_rng(5)
+    s = np.r_[g.normal(size=(150, size)), np.repeat(g.normal(size=(1, size)), 60, 0), -0.0 * np.ones((2, size)), np.zeros((2, size))]
+    q = spark.createDataFrame([(i, [float(x) for x in v], i if i % 2 else None) for i, v in enumerate(s)], "row_idx long, exemplar array<double>, own long")
+    d2 = np.zeros((len(s), len(s)))
+    for c in range(size):
+        d2 += (s[:, None, c] - s[None, :, c]) ** 2
+    got = knn.knn(q, frame(spark, s, "support_idx"), 7, exclude="own")
+    assert "NestedLoopJoin" not in _plan(got) and "CartesianProduct" not in _plan(got) and "Window" not in _plan(got)
+    found = {}
+    for r in got.orderBy("row_idx", "rank").collect():
+        found.setdefault(r["row_idx"], []).append((r["support_idx"], r["d2"]))
+    for r in range(len(s)):
+        order = [i for i in np.lexsort((np.arange(len(s)), d2[r])) if not (r % 2 and i == r)][: 7 - r % 2]
+        assert found[r] == [(i, d2[r, i]) for i in order]
+
+
+def test_odd_vectors_are_ranked_as_sql_ranks_them(spark):
+    rows = [(0, [0.0, 1.0]), (1, None), (2, [float("nan"), 0.0]), (3, [1.0]), (4, [2.0, None]), (5, [2.0, 2.0]), (5, [3.0, 3.0])]
+    q = spark.createDataFrame(rows, "row_idx long, exemplar array<double>")
+    s = q.withColumnRenamed("row_idx", "support_idx")
+    pairs = q.withColumn("_own", F.lit(None).cast("long")).select("row_idx", "_own", F.col("exemplar").alias("_q")).crossJoin(s.select("support_idx", F.col("exemplar").alias("_s")))
+    want = knn._ranked(pairs.select("row_idx", "_own", "support_idx", knn.squared_distance(F.col("_q"), F.col("_s")).alias("d2")), 4)
+    text = lambda df: sorted(map(str, df.select("row_idx", "rank", "support_idx", "d2").collect()))
+    assert text(knn.knn(q, s, 4)) == text(want)
+
+
+def test_quantiles_and_sizes_search_sorted_values(spark):
+    """Counts by bisection are those of all comparisons, and no row carries the values."""
+    from veracal.functions import scores
+    from veracal.operators import calibration
+    from veracal.plans import model
+
+    g = np.random.default_rng(6)
+    rows = [(i, int(i % 2), float(v), float(g.integers(0, 9)), 2, [0.5, 0.25], 0) for i, v in enumerate(g.integers(0, 20, 80))]
+    df = spark.createDataFrame(rows, "row_idx long, label int, d0 double, q_prime double, q int, z array<double>, prediction int")
+    near, alike = calibration.distance_cdfs(df, 2), calibration.similarity_cdfs(df, 2)
+    got = model.with_sizes(model.with_probabilities(df, near).drop("q_prime").join(df.select("row_idx", "q_prime"), "row_idx"), alike)
+    assert "NestedLoopJoin" not in _plan(got)
+    arrays = lambda c: calibration.as_arrays(c)
+    want = df.crossJoin(arrays(near)).select("row_idx", "q_prime", scores.distance_quantile(F.col("d0"), F.col("cdfs")).alias("d"))
+    want = want.crossJoin(arrays(alike)).select("row_idx", "d", scores.sample_sizes(F.col("q_prime"), F.col("cdfs")).alias("n"))
+    assert sorted(got.select("row_idx", "d", "n").collect()) == sorted(want.collect())
