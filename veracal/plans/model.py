@@ -6,14 +6,16 @@ import uuid
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import calibration, features, knn
 
-#: Calibration values that may be sent along as arrays; more are ranked by a sort (calibration.range_counts).
-CDF_POINTS = 100_000
+#: Calibration values that may be sent along as arrays; more are ranked by a sort (calibration.range_counts).  In tables: those
+#: that are sent to the tasks and searched by bisection.
+CDF_POINTS, SENT_POINTS = 100_000, 4_000_000
 
 
 @dataclass
@@ -81,7 +83,9 @@ def with_signals(df: DataFrame, support: DataFrame, k: int, strategy: str = "sql
 def with_probabilities(df: DataFrame, cdfs: list[list[float]] | DataFrame, q_offset: float = scores.Q_OFFSET) -> DataFrame:
     """``df`` with d, sdm and q_prime; ``cdfs`` are distances by class."""
     if isinstance(cdfs, DataFrame):
-        df = df.join(F.broadcast(calibration.as_arrays(cdfs))).withColumn("d", scores.distance_quantile(F.col("d0"), F.col("cdfs"))).drop("cdfs")
+        df, sizes = _counted(df, "d0", cdfs, False, "_below")
+        each = [1 - F.get("_below", c) / n for c, n in enumerate(sizes)]
+        df = df.withColumn("d", F.array_min(F.array(*each)) if all(sizes) else F.lit(0.0)).drop("_below")
     elif sum(map(len, cdfs)) <= CDF_POINTS:
         df = df.withColumn("d", scores.distance_quantile(F.col("d0"), _literal(cdfs)))
     else:
@@ -93,12 +97,33 @@ def with_probabilities(df: DataFrame, cdfs: list[list[float]] | DataFrame, q_off
 def with_sizes(df: DataFrame, cdfs: list[list[float]] | DataFrame) -> DataFrame:
     """``df`` with n, the effective sample size of each class."""
     if isinstance(cdfs, DataFrame):
-        return df.join(F.broadcast(calibration.as_arrays(cdfs))).withColumn("n", scores.sample_sizes(F.col("q_prime"), F.col("cdfs"))).drop("cdfs")
+        return _counted(df, "q_prime", cdfs, True, "n")[0]
     if sum(map(len, cdfs)) <= CDF_POINTS:
         return df.withColumn("n", scores.sample_sizes(F.col("q_prime"), _literal(cdfs)))
     return _ranked(df, "q_prime", cdfs, True, "n")
 
 
+def _counted(df: DataFrame, value: str, cdfs: DataFrame, inclusive: bool, name: str) -> tuple[DataFrame, list[int]]:
+    """``df`` with how many values of each class are below a row's (or at most it), and the number of values of each class."""
+    sizes = [r["n"] for r in sorted(cdfs.select("class", F.size("values").alias("n")).collect(), key=lambda r: r["class"])]
+    if sum(sizes) > SENT_POINTS:
+        points = cdfs.select("class", F.explode("values").alias("v"))
+        per = calibration.range_counts(df, value, points, inclusive)
+        lists = per.groupBy("row_idx").agg(F.map_from_entries(F.collect_list(F.struct("class", F.col("n").cast("int")))).alias("_m"))
+        each = F.array(*[F.coalesce(F.element_at("_m", c), F.lit(0)) for c in range(len(sizes))])
+        return df.join(lists, "row_idx", "left").withColumn(name, each).drop("_m"), sizes
+    rows = cdfs.orderBy("class").select("values").toPandas()["values"]  # bounded: its values were counted
+    sent = df.sparkSession.sparkContext.broadcast([np.array(v, np.float64) for v in rows])
+
+    @F.pandas_udf("array<int>")
+    def counts(v: pd.Series) -> pd.Series:
+        per = [np.searchsorted(c, v.to_numpy(np.float64), "right" if inclusive else "left") for c in sent.value]
+        return pd.Series(list(np.column_stack(per).astype(np.int32)))
+
+    none = F.array(*[F.lit(0)] * len(sizes))
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), counts(F.col(value))).otherwise(none)), sizes
+
+
 def _literal(cdfs: list[list[float]]):
     import json
 
