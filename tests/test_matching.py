@@ -63,6 +63,34 @@ def test_leading_run(spark):
     assert [r["nearest"] for r in got] == [0, 2, 0]
 
 
+@pytest.mark.parametrize("size", [4, 24])
+def test_leading_runs_leave_the_task_without_neighbours(spark, size, monkeypatch):
+    """Signals of each query as from the joined neighbours, with unknown labels and own rows, and without a shuffle."""
+    monkeypatch.setattr(knn, "BOX", 8)
+    monkeypatch.setattr(knn, "NEAR_QUERIES", 4)
+    monkeypatch.setattr(knn, "HELD", 10)
+    g = np.random.default_rng(8)
+    v = g.integers(0, 3, (120, size)).tolist()
+    some = lambda i, n: None if i % n == 0 else int(g.integers(0, 2))
+    s = spark.createDataFrame([(3 * i, [float(x) for x in a], some(i, 13), 0 if i % 3 else some(i, 11)) for i, a in enumerate(v)], "support_idx long, exemplar array<double>, label int, predicted_label int")
+    q = spark.createDataFrame([(i, [float(x) for x in a], 3 * i if i % 2 else None, some(i, 17)) for i, a in enumerate(v)], "row_idx long, exemplar array<double>, own long, prediction int")
+    columns = ("row_idx", "q", "d0", "nearest")
+    for k, exclude in ((5, None), (5, "own"), (1, "own")):
+        got = knn.signals(q, s, k, exclude=exclude).select(*columns)
+        assert "Exchange" not in _plan(got) and "Join" not in _plan(got)
+        joined = q.join(knn.similarity(knn.knn(q, s, k, exclude=exclude), q, s), "row_idx", "left")
+        want = joined.select("row_idx", F.coalesce("q", F.lit(0)), F.coalesce("d0", F.lit(0.0)), "nearest")
+        assert sorted(got.collect()) == sorted(want.collect()) if k > 1 else sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_signals_of_repeated_and_odd_rows(spark):
+    s = spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(SUPPORT)], "support_idx long, exemplar array<double>, label int, predicted_label int")
+    q = spark.createDataFrame([(0, [0.0, 1.0], 0), (0, [2.0, 1.0], 0), (1, None, 0)], "row_idx long, exemplar array<double>, prediction int")
+    joined = q.join(knn.similarity(knn.knn(q, s, 2), q, s), "row_idx", "left").select("row_idx", "q", "d0", "nearest")
+    text = lambda df: sorted(map(str, map(tuple, df.select("row_idx", "q", F.coalesce("d0", F.lit(0.0)), "nearest").collect())))
+    assert text(knn.signals(q, s, 2)) == text(joined)
+
+
 def test_empty_sides(spark):
     none = spark.createDataFrame([], "row_idx long, exemplar array<double>")
     assert knn.knn(none, frame(spark, SUPPORT, "support_idx"), 3).count() == 0

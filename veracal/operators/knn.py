@@ -1,4 +1,5 @@
-"""Exact k-nearest-neighbour join by squared Euclidean distance, ties by the lower support index.
+"""Exact k-nearest-neighbour join by squared Euclidean distance, ties by the lower support index; and ``signals``, which needs
+no more of the k neighbours than their leading run and returns that with each query, without a shuffle.
 
 Two strategies give the same rows: ``sql`` adds squared differences up component by component (batch-invariant, comparable with
 other engines); ``arrow`` multiplies blocks of queries with tiles of the support in numpy.  Both run in numpy and return the k
@@ -227,17 +228,21 @@ def _summed(rows: pd.DataFrame, ids: np.ndarray, s: np.ndarray, k: int, cut: tup
     return pd.concat(out)
 
 
+def _in_boxes(rows: pd.DataFrame, k: int) -> tuple:
+    """(ids, vectors, their boxes or None) of plain support rows."""
+    ids, v = first_copies(rows["support_idx"].to_numpy(np.int64), np.array(rows["_s"].tolist(), np.float64).reshape(len(rows), -1), k)
+    if v.shape[1] > BOX_DIMENSIONS:
+        return ids, v, None
+    order, starts = boxes(v, BOX)
+    ids, v = ids[order], v[order]
+    return ids, v, (starts, np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts))
+
+
 def _boxed(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
     rows = s.toPandas()  # bounded: its bytes were counted
     if not len(rows) or k < 1:
         return q.sparkSession.createDataFrame([], SCHEMA)
-    ids, v = first_copies(rows["support_idx"].to_numpy(np.int64), np.array(rows["_s"].tolist(), np.float64).reshape(len(rows), -1), k)
-    cut = None
-    if v.shape[1] <= BOX_DIMENSIONS:
-        order, starts = boxes(v, BOX)
-        ids, v = ids[order], v[order]
-        cut = starts, np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
-    sent = q.sparkSession.sparkContext.broadcast((ids, v, cut))
+    sent = q.sparkSession.sparkContext.broadcast(_in_boxes(rows, k))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, v, cut = sent.value
@@ -297,3 +302,59 @@ def similarity(neighbours: DataFrame, predictions: DataFrame, support: DataFrame
     good = F.col("_right") & (F.col("_p") == F.col("prediction"))
     run = F.coalesce(F.min(F.when(~good, F.col("rank"))) - 1, F.count("*"))
     return n.groupBy("row_idx").agg(run.cast("int").alias("q"), F.greatest(F.min_by("d2", "rank"), F.lit(0.0)).alias("d0"), F.min_by("support_idx", "rank").alias("nearest"))
+
+
+def _leading(found: pd.DataFrame, rows: int, prediction: np.ndarray, ids: np.ndarray, right: np.ndarray, predicted: np.ndarray) -> pd.DataFrame:
+    """``similarity`` of the queries 0 to ``rows`` from their neighbours; ids ascend, right is -1 and predictions are NaN where
+    they are null."""
+    q, d0, nearest, have = np.zeros(rows, np.int32), np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, bool)
+    if len(found):
+        row, of, d2 = (found[c].to_numpy() for c in ("row_idx", "support_idx", "d2"))
+        at = np.searchsorted(ids, of)
+        p, own = predicted[at], prediction[row]
+        bad = (right[at] == 0) | (p != own) & ~np.isnan(p) & ~np.isnan(own)
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        q[row[first]] = np.minimum.reduceat(np.where(bad, np.arange(len(row)), len(row)), first).clip(max=np.r_[first[1:], len(row)]) - first
+        d0[row[first]], nearest[row[first]], have[row[first]] = np.maximum(d2[first], 0.0), of[first], True
+    return pd.DataFrame({"q": q, "d0": d0, "nearest": nearest, "_found": have})
+
+
+def signals(df: DataFrame, support: DataFrame, k: int, strategy: str = "sql", vector: str = "exemplar", exclude: str | None = None) -> DataFrame:
+    """``df`` (row_idx, prediction, the vector) with q, d0 and nearest of ``similarity``; 0, 0 and null without neighbours.
+
+    With a support that is sent to the tasks, plain vectors and indexes that are not repeated, each query's neighbours are looked
+    at where they are found and nothing is shuffled; otherwise the neighbours are joined."""
+    own = F.col(exclude) if exclude else F.lit(None).cast("long")
+    n, m = _most(support, vector)
+    direct = strategy == "sql" and 0 < n * m * 8 <= BROADCAST_BYTES and k > 0
+    for rows, name in ((df, "row_idx"), (support, "support_idx")):
+        direct = direct and rows.where(~_plain(vector, m) | F.col(name).isNull()).isEmpty()
+        direct = direct and rows.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if not direct:
+        s = similarity(knn(df, support, k, strategy, vector, exclude), df, support)
+        return df.join(s, "row_idx", "left").withColumns({"q": F.coalesce("q", F.lit(0)), "d0": F.coalesce("d0", F.lit(0.0))})
+    right = (F.col("label") == F.col("predicted_label")).cast("int").alias("right")
+    rows = support.select("support_idx", F.col(vector).alias("_s"), right, F.col("predicted_label").cast("double").alias("p"))
+    rows = rows.toPandas().sort_values("support_idx")  # bounded: its bytes were counted
+    attributes = rows["support_idx"].to_numpy(np.int64), rows["right"].fillna(-1).to_numpy(np.int8), rows["p"].to_numpy(np.float64)
+    sent = df.sparkSession.sparkContext.broadcast((_in_boxes(rows, k), attributes))
+
+    def several(held: list[pd.DataFrame]) -> pd.DataFrame:
+        (ids, v, cut), attributes = sent.value
+        b = pd.concat(held, ignore_index=True)
+        return _leading(_summed(b[["_q", "_own"]].assign(row_idx=np.arange(len(b))), ids, v, k, cut), len(b), b["p"].to_numpy(np.float64), *attributes)
+
+    @F.pandas_udf("q int, d0 double, nearest long, _found boolean")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for x, own, p in batches:
+            held.append(pd.DataFrame({"_q": x, "_own": own, "p": p}))
+            if sum(map(len, held)) >= HELD:
+                yield several(held)
+                held = []
+        if sum(map(len, held)):
+            yield several(held)
+
+    out = df.withColumn("_s", run(F.col(vector), own, F.col("prediction").cast("double")))
+    nearest = F.when(F.col("_s._found"), F.col("_s.nearest"))
+    return out.withColumns({"q": F.col("_s.q"), "d0": F.col("_s.d0"), "nearest": nearest}).drop("_s")

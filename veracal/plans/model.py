@@ -75,9 +75,7 @@ class Model:
 def with_signals(df: DataFrame, support: DataFrame, k: int, strategy: str = "sql", exclude: str | None = None) -> DataFrame:
     """``df`` (row_idx, exemplar, z) with prediction, q, d0, nearest."""
     df = df.withColumn("prediction", scores.argmax(F.col("z")))
-    n = knn.knn(df, support, k, strategy, exclude=exclude)
-    s = knn.similarity(n, df, support)
-    return df.join(s, "row_idx", "left").withColumns({"q": F.coalesce("q", F.lit(0)), "d0": F.coalesce("d0", F.lit(0.0))})
+    return knn.signals(df, support, k, strategy, exclude=exclude)
 
 
 def with_probabilities(df: DataFrame, cdfs: list[list[float]] | DataFrame, q_offset: float = scores.Q_OFFSET) -> DataFrame:

@@ -61,7 +61,7 @@ class Geo:
 
     def signals(self) -> DataFrame:
         """Calibration and query rows with q and d0."""
-        return self.m.with_signals(self.rows.where("part > 0"), self.support, K, self.strategy)
+        return self.m.with_signals(self.rows.where("part > 0"), self.support, K, self.strategy).drop("x", "exemplar")
 
     def distance_cdfs(self, signals: DataFrame) -> DataFrame:
         from ..operators.calibration import distance_cdfs
