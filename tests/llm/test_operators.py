@@ -687,6 +687,75 @@ def test_pairs_of_one_large_bucket_only_are_found(docs, monkeypatch, block):
     assert check_lines(docs, texts) == 80
 
 
+def test_counts_rule_out_no_near_pair():
+    """Counts of bytes allow every pair within the edits, and rule out most pairs of unlike lines."""
+    g = random.Random(12)
+    forms = [lines.normal_line(x) for k in range(300) for w in [prose(k, g.randrange(2, 60))] for x in (w, edited(w, g, 0.1))] + [b"a" * 999, b"a" * 900, b""]
+    n, counts = np.array([len(f) for f in forms]), lines.gram_counts(forms)
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(len(forms)), np.arange(len(forms))))
+    u, v = u[(u // 2 == v // 2) | (u % 7 == 0)], v[(u // 2 == v // 2) | (u % 7 == 0)]
+    got = lines.counts_allow(counts[u], counts[v], np.floor(np.maximum(n[u], n[v]) * 0.1 + 1e-9))
+    near = lines.alike_pairs([forms[k] for k in u], [forms[k] for k in v], 0.9)
+    assert near.sum() > 800 and got[near].all() and got[~near].mean() < 0.1
+
+
+def test_pairs_are_verified_where_buckets_are(monkeypatch):
+    """Groups that pair_links joins are those of all near pairs; a pair of many buckets is verified once, none within a group."""
+    import pandas as pd
+
+    monkeypatch.setattr(lines, "VERIFIED", 16)
+    g, forms = random.Random(13), []
+    for k in range(12):
+        w = "a common passage " + prose(k, 30)
+        forms += [lines.normal_line(w), *(lines.normal_line(edited(w, g, 0.04)) for _ in range(9))]
+    n = len(forms)
+    p = lines.pack(np.array([len(f) for f in forms]), np.zeros(n), np.zeros(n))
+    rows = pd.concat([pd.DataFrame({"key": key, "node": np.arange(n) + 5, "p": p, "c": np.arange(n), "b": 0, "i": 0, "j": 0}) for key in range(6)])
+    asked, real = [], lines.alike_pairs
+    monkeypatch.setattr(lines, "alike_pairs", lambda a, b, least: asked.extend(zip(a, b)) or real(a, b, least))
+    counts = [c.tobytes() for c in lines.gram_counts(forms).astype(np.uint8)] * 6
+    pairs = lines.open_pairs(rows.assign(counts=counts), 0.9)
+    got = lines.pair_links(pairs, pd.DataFrame({"node": np.arange(n) + 5, "form": forms}), 0.9)
+    assert len(asked) == len(set(asked))
+
+    def groups(pairs):
+        c = np.arange(n)
+        u, v = (np.array(x) for x in zip(*pairs))
+        lines.join_groups(c, u, v)
+        return c.tolist()
+
+    near = [(i, j) for i in range(n) for j in range(i) if lines.alike(forms[i], forms[j], 0.9)]
+    assert groups(near) == groups([(u - 5, v - 5) for u, v in got.itertuples(index=False)])
+    assert len(near) > 400 and real(*(list(x) for x in zip(*asked)), 0.9).sum() < len(near)
+
+
+@pytest.mark.parametrize("bits", [27, 16, 6])
+def test_texts_stay_where_they_are_read(docs, spark, monkeypatch, bits):
+    """Forms that are asked are found however few bits there are, and only they leave the tasks with enough of them."""
+    monkeypatch.setattr(lines, "MOST_BITS", bits)
+    texts = ["\n".join(prose(40 * k + i, 12) for i in range(30)) + "\nagain and again" for k in range(12)]
+    want = [lines.normal_line(t.split("\n")[3]) for t in texts] + [b"again and again"]
+    h = lines.form_hashes(want).tolist()
+    asked = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(h)], "node long, a long, b long")
+    found = lines._forms_of(asked, docs(texts))
+    assert {r["node"]: bytes(r["form"]) for r in found.collect()} == dict(enumerate(want)) and found.count() == len(want)
+    read = [x for x in found._jdf.queryExecution().toString().split("\n") if "Exchange hashpartitioning(doc_id" in x]
+    assert not read
+    every = np.array([lines.form_hashes(lines.forms_of(t)[1])[:, 0] for t in texts]).ravel()
+    assert bits < 16 or lines.may_be_asked(lines.bitmap(asked), every).mean() < 0.1
+
+
+def test_only_buckets_of_several_blocks_are_repeated(docs, spark, monkeypatch):
+    """Members of a bucket of one block go to one task, without a generator; pairs that cannot be near are not joined with texts."""
+    made = []
+    monkeypatch.setattr(lines, "LARGE", 2)
+    monkeypatch.setattr(lines.common, "written", lambda df, name, real=lines.common.written: made.append((name, df._jdf.queryExecution().toString())) or real(df, name))
+    texts = ["a phrase that is very common " + prose(k // 2, 15) + ("x" if k % 2 else "") for k in range(60)]
+    assert check_lines(docs, texts) >= 30
+    plans = dict(made)
+    assert "line-tasks" in plans and "Generate" not in plans["line-tasks"]
+
+
 def test_near_lines_are_found(docs):
     """Lines with a word of ten or with letters all over changed, and a long word alone: all pairs of brute force are removed."""
     g = random.Random(9)
